@@ -32,8 +32,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from paritylens.llm.consistent import class_pairs, consistent_form
+from paritylens.llm.consistent import REPRESENTATIVES, SALTS, class_pairs, consistent_form
 from paritylens.llm.words import WORD
 from paritylens.session import cut_lineage
 
@@ -69,7 +70,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = []
             for w in word.findall(form.lower()):
                 seen[w] = k = seen.get(w, 0) + 1
-                tokens.append(xxhash.xxh3_64_intdigest(w, k))
+                tokens.append((xxhash.xxh3_64_intdigest(w) + k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
             found = np.sort(np.array(tokens, np.uint64).view(np.int64))
             # Without words, only the same form is the same.
             raw = found.tobytes() if len(found) else form.encode("utf-8", "surrogatepass")
@@ -234,8 +235,6 @@ def near_pairs(df: DataFrame, id_col: str, text: str, threshold: float = 0.8) ->
     up to REPRESENTATIVES records, larger ones by their representatives; so
     are the records of linked classes.
     """
-    from paritylens.llm.consistent import REPRESENTATIVES
-
     members, links = near_classes(df, id_col, text, threshold)
     members = cut_lineage(members)
     same = class_pairs(members.where("n_records > 1"), ["class_key"]).select("id_a", "id_b")
@@ -243,11 +242,10 @@ def near_pairs(df: DataFrame, id_col: str, text: str, threshold: float = 0.8) ->
     linked = links.select(F.col("rep_a").alias("rep")).unionByName(links.select(F.col("rep_b").alias("rep"))).distinct()
     own = members.join(linked, "rep", "left_semi")
     # Of each class, the first ids; the class itself is known from its representative.
-    from pyspark.sql.window import Window
-
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     first = salted.withColumn("r", F.row_number().over(Window.partitionBy("rep", "salt").orderBy("id"))).where(F.col("r") <= REPRESENTATIVES)
     first = first.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= REPRESENTATIVES).select("rep", "id")
+
     def expand(x: str, y: str) -> DataFrame:
         every = own.select(F.col("rep").alias(x), F.col("id").alias("p"))
         some = first.select(F.col("rep").alias(y), F.col("id").alias("q"))
