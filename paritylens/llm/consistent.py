@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paritylens.llm.lookalikes import LOOKALIKES, NO_INK
-from paritylens.session import cut_lineage
+from paritylens.session import cut_lineage, spread
 
 #: Characters that are their own form and do not combine with what follows
 #: unless that is itself outside this class.
@@ -151,7 +151,7 @@ def same_form_classes(df: DataFrame, by: list[str], id_col: str, text: str) -> D
     ``raw`` and ``form_key`` are 128-bit keys of the text and of its form.
     Null texts belong to no class.  A repeated row with the same id counts once.
     """
-    records = consistent_form(df.where(F.col(text).isNotNull()).select(*by, F.col(id_col).alias("id"), F.col(text).alias("__text")), "__text", "__form")
+    records = consistent_form(spread(df.where(F.col(text).isNotNull()).select(*by, F.col(id_col).alias("id"), F.col(text).alias("__text"))), "__text", "__form")
     records = records.select(*by, "id", text_key(F.col("__text")).alias("raw"), text_key(F.col("__form")).alias("form_key"))
     records = cut_lineage(records.dropDuplicates([*by, "id", "raw"]))
     # Copies are counted per text before the classes meet, so a hot class

@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 from paritylens.llm.consistent import consistent_form, text_key
 from paritylens.llm.words import words
-from paritylens.session import cut_lineage
+from paritylens.session import cut_lineage, spread
 
 
 class _Fields(list):
@@ -63,7 +63,7 @@ def copy_classes(df: DataFrame, id_col: str, text: str) -> DataFrame:
     left out.  A repeated row counts as often as it occurs in ``n_copies``
     and has one row here.
     """
-    records = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).withColumn("raw", text_key(F.col("text")))
+    records = spread(df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))).withColumn("raw", text_key(F.col("text")))
     survivors = records.groupBy("raw").agg(F.first("text").alias("text"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     canonical = consistent_form(survivors, "text").select("raw", "least", "n", canonical_text(F.col("form")).alias("content")).where("content <> ''")
     canonical = cut_lineage(canonical)

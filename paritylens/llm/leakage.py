@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from paritylens.session import spread
 from paritylens.llm.words import WORD, words
 
 #: Consecutive words that a document shares with a passage.
@@ -48,7 +49,7 @@ def hits(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str
     """
     grams = windows(items.select(F.col(item_id).alias("item_id"), F.col(passage).alias("passage")), ["item_id"], "passage", n).select("gram", "item_id").distinct()
     few = grams.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
-    every = windows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", n)
+    every = windows(spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), ["doc_id"], "text", n)
     return every.join(F.broadcast(grams) if few else grams, "gram").select("doc_id", "item_id", "at")
 
 

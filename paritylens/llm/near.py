@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from paritylens.llm.consistent import REPRESENTATIVES, SALTS, class_pairs, consistent_form
 from paritylens.llm.words import WORD
-from paritylens.session import cut_lineage
+from paritylens.session import cut_lineage, spread
 
 #: Bits of a signature, in 64-bit words.
 SIGNATURE = 4
@@ -88,7 +88,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_records(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, class_key, n, tokens) of every record with a text."""
     rows = df.where(F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    forms = consistent_form(rows, "text").select("id", "form")
+    forms = consistent_form(spread(rows), "text").select("id", "form")
     return forms.mapInArrow(_tokenise, "id long, class_key binary, n int, tokens array<long>")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paritylens.session import spread
 from paritylens.llm.words import words
 
 #: Words of a run, least number of words of a case, least share of a case.
@@ -106,7 +107,7 @@ def repetitive(df: DataFrame, id_col: str, text: str, run: int = RUN, least_word
     """
     share = Fraction(str(least_share))
     every = rules(run, least_words, share)
-    rest = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    rest = spread(df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text")))
     passed = F.lit(True)
     for name in reversed(order_rules(df, text, run, least_words, share)):
         # Nested so that a rejected text costs none of the later rules.

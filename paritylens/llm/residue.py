@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paritylens.llm.consistent import text_key
-from paritylens.session import cut_lineage
+from paritylens.session import cut_lineage, spread
 
 #: Documents and sources over which a message recurs widely.
 WIDE_DOCS, WIDE_SOURCES = 5, 2
@@ -52,12 +52,6 @@ FURNITURE = [
     r"\b(menu|reload|loading|search|log ?in|sign (in|up)|cookie settings|privacy policy|skip to (main )?content|back to (start|home|top))\b", r"\bhome( > [\p{L}]+)+", r"\b(request|trace|incident|ray|reference|error) (id )?#", r"\bat [\p{L}]+ node\b",
     r"\bnginx[\p{L}-]*( gateway)?( [\p{L}]+)?", r"\bcontact the [\p{L}]+ help ?desk\b", r"(©|\bcopyright\b).{0,60}$",
 ]
-# Each phrase of FILLER, SCRIPTS and ERRORS has one of these in it.
-STEMS = (
-    "script skript browser error fehler erreur errore err_ forbidden unauthori gone denied unavailable timeout time-out gateway requests located longer too maintenance again owner "
-    "permission expired upstream traceback failed missing slow gefunden angeforderte erneut abgelaufen introuvable expiré encontrada intentarlo caducado trovata riprova found cookies "
-    "here blindtext text content contenu texto contenido testo contenuto asdf qwer zxcv hjkl jkl yuio foo bar baz inhalt"
-).split()
 MENTION = [
     r"\bplace ?holders?\b", r"\bplatzhalter\w*\b", r"\bmarcador(es)? de posición\b", r"\bsegnaposto\b", r"\bespaces? réservés?\b", r"\btemplates?\b", r"\bvorlagen?\b", r"\bplantillas?\b", r"\bmodèles? de\b", r"\bstyle ?guide\b", r"\bmail merge\b", r"\bserienbrief\w*\b",
     r"\b(square|curly|angle) (brackets|braces)\b", r"\bliterals?\b", r"\brenderer\b", r"\bparser\b", r"\bsyntax\b", r"\bregex\b", r"\bvariables?\b", r"\bescaped?\b",
@@ -75,6 +69,9 @@ STRONG = rf"\{{\{{ ?{_NAME} ?\}}\}}|<<{_NAME}>>|\$\{{ ?{_NAME} ?\}}|(?<!\$)\{{{_
 WEAK = rf"(?<!\[)\[{_NAME}\](?![\](])|(?<!<)<{_NAME}>(?!>)|(?<![\p{{L}}\p{{Nd}}_])__[\p{{L}}][\p{{L}}\p{{Nd}}_]{{0,40}}?__(?![\p{{L}}\p{{Nd}}_])"
 
 
+_MARKED = r"[{}\[\]<>%@_]|XXX"
+
+
 def _any(patterns: list[str]) -> str:
     return "(" + "|".join(patterns) + ")"
 
@@ -90,12 +87,16 @@ def messages(text: Column) -> Column:
 
 
 def masked(message: Column) -> Column:
-    """A message with marks as ¤, numbers, codes, dates and addresses as # and names as n, in lower case."""
-    x = F.regexp_replace(F.trim(message), r"https?://\S+|www\.\S+|\S+@\S+\.\p{L}{2,}", "#")
-    x = F.regexp_replace(x, rf"{STRONG}|{WEAK}", "¤")
+    """A message with numbers, codes, dates and addresses as # , in lower case."""
+    x = F.when(message.contains("://") | message.contains("@") | message.contains("www."), F.regexp_replace(message, r"https?://\S+|www\.\S+|\S+@\S+\.\p{L}{2,}", "#")).otherwise(message)
+    return F.lower(F.regexp_replace(F.regexp_replace(x, r"(?<![\p{L}\p{Nd}])\p{Lu}{0,4}-?\p{Nd}{4,}[\p{Nd}/.:-]*(?<![.:/-])|\p{Nd}+/\p{Nd}+", "#"), r"\s+", " "))
+
+
+def shape(message: Column) -> Column:
+    """What equal messages share: also without placeholders, short numbers and names."""
+    x = F.when(message.rlike(_MARKED), F.regexp_replace(message, rf"{STRONG}|{WEAK}", "¤")).otherwise(message)
     x = F.regexp_replace(x, r"(?<![\p{L}\p{Nd}])\p{Lu}{0,4}-?\p{Nd}[\p{Nd}/.:-]*(?<![.:/-])", "#")
-    x = F.regexp_replace(x, r"(?<=[\p{L}\p{Nd}#¤,;:] )\p{Lu}\p{Ll}{2,}(?!\p{L})", "n")
-    return F.lower(F.regexp_replace(x, r"\s+", " "))
+    return F.lower(F.regexp_replace(x, r"(?<![\p{L}\p{Nd}])\p{Lu}\p{Ll}{2,}(?!\p{L})", "n"))
 
 
 def _filler_share(message: Column) -> Column:
@@ -112,55 +113,51 @@ def residue(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     furniture and titles.  Null and empty texts are no cases.  A repeated row
     has one row here.
     """
-    docs = df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text")).withColumn("k", text_key(F.col("text")))
-    # Only these documents can consist of notices or filler; all of them are cut and counted.
-    likely = F.lower("text").rlike("(" + "|".join(STEMS) + r")|\b(" + "|".join(FILLER_WORDS) + r")\b")
-    parts = docs.select("id", "k", "source", likely.alias("likely"), F.explode(messages(F.col("text"))).alias("message"))
-    shape = masked(F.col("message"))
-    low = F.lower(F.trim("message"))
-    # Page furniture is taken off wherever it stands in a message.
-    bare = F.trim(F.regexp_replace(F.regexp_replace(low, r"(?<![\p{L}\p{Nd}])[\p{L}]{0,4}-?\p{Nd}{4,}", "#"), _any(FURNITURE), " "))
-    n_left = F.size(F.regexp_extract_all(bare, F.lit(r"([\p{L}\p{Nd}]+)"), F.lit(1)))
-    notice = F.when(F.length(low) < 400, F.when(low.rlike(_any(SCRIPTS)), "script").when(low.rlike(_any(ERRORS)), "error"))
+    docs = spread(df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))).withColumn("k", text_key(F.col("text")))
+    parts = docs.select("id", "k", "source", F.explode(messages(F.col("text"))).alias("message"))
     marks = F.array_distinct(F.regexp_extract_all("message", F.lit(f"({STRONG})"), F.lit(1)))
     weak = F.filter(F.array_distinct(F.regexp_extract_all("message", F.lit(f"({WEAK})"), F.lit(1))), lambda x: ~(F.substring(x, 1, 1).eqNullSafe("<") & _field(x).isin(HTML_TAGS)))
-    has_mark = F.col("message").rlike(r"[{}\[\]<>%@_]|XXX")
-    parts = parts.select(
-        "id", "k", "source", "message", shape.alias("shape"), F.xxhash64(shape).alias("h"),
-        F.when(has_mark, marks).alias("strong"), F.when(has_mark, weak).alias("weak"),
-        F.when(F.col("likely"), n_left).alias("n_words"), F.when(F.col("likely"), notice).alias("notice"), F.coalesce(F.when(has_mark, low.rlike(_any(MENTION))), F.lit(False)).alias("mention"),
-        F.when(F.col("likely"), (_filler_share(F.col("message")) >= 0.8) | low.rlike(_any(FILLER)) & ~low.rlike(_any(MENTION))).alias("filler"),
-    )
-    told_kind = F.when(F.col("filler"), "filler").when(F.col("n_words") <= NOTICE_WORDS, F.col("notice"))
-    parts = parts.withColumn("kind", told_kind).drop("notice", "filler", "message")
+    has_mark = F.col("message").rlike(_MARKED)
+    about_marks = F.coalesce(F.when(has_mark, F.lower("message").rlike(_any(MENTION))), F.lit(False))
+    parts = parts.select("id", "k", "source", F.xxhash64(shape(F.trim("message"))).alias("h"), masked(F.trim("message")).alias("form"), F.when(has_mark, marks).alias("strong"), F.when(has_mark, weak).alias("weak"), about_marks.alias("mention"))
     parts = cut_lineage(parts)
     # Names of fields, as the plain marks of the whole corpus give them.
     fields = parts.where(F.size("strong") > 0).select(F.explode("strong").alias("mark")).select(_field(F.col("mark")).alias("field")).where("length(field) > 1").distinct()
-    named = parts.where(F.size("weak") > 0).select("id", "k", "h", F.explode("weak").alias("mark")).withColumn("field", _field(F.col("mark")))
-    sure = F.col("mark").contains("_") & ~F.col("mark").startswith("__") | F.col("mark").rlike(r"(?i)^[<\[_]+\s*(insert|enter|your|add|fill|name|date)\b") | F.regexp_replace("mark", "^__|__$", "").contains("_")
+    named = parts.where(F.size("weak") > 0).select("id", "k", "h", "mention", F.explode("weak").alias("mark")).withColumn("field", _field(F.col("mark")))
+    sure = F.regexp_replace("mark", "^__|__$", "").contains("_") | F.col("mark").rlike(r"(?i)^[<\[_]+\s*(insert|enter|your|add|fill|todo)\b")
     named = named.where(sure).unionByName(named.where(~sure).join(fields, "field", "left_semi").select(*named.columns))
-    weak_hits = named.select("id", "k", "h", "mark")
-    strong_hits = parts.where(F.size("strong") > 0).select("id", "k", "h", F.explode("strong").alias("mark"))
-    hits = strong_hits.unionByName(weak_hits)
+    strong = parts.where(F.size("strong") > 0).select("id", "k", "h", "mention", F.explode("strong").alias("mark"))
+    hits = strong.unionByName(named.select(*strong.columns))
     # A sentence that always carries the very same marks writes about them;
     # one from which values are missing carries the marks of many templates.
     per_message = hits.groupBy("id", "k", "h").agg(F.array_join(F.array_sort(F.collect_set("mark")), " ").alias("marks"))
     about = per_message.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("marks").alias("kinds"), F.first("marks").alias("marks")).where(f"n >= {WIDE_DOCS} and kinds = 1")
-    blank = F.col("marks").rlike(r"^[_X%sd ]+$")
-    about = about.where(~blank).select("h")
-    groups = parts.groupBy("h").agg(F.countDistinct("id", "k").alias("n_docs"), F.countDistinct("source").alias("n_sources"))
-    wide = groups.where((F.col("n_docs") >= WIDE_DOCS) & (F.col("n_sources") >= WIDE_SOURCES))
-    own = parts.where("not mention").select("id", "k", "h").distinct()
-    holds = hits.select("id", "k", "h").distinct().join(about, "h", "left_anti").join(own, ["id", "k", "h"], "left_semi").select("id").distinct()
+    about = about.where(~F.col("marks").rlike(r"^[_X%sd ]+$")).select("h")
+    holds = hits.where("not mention").select("id", "k", "h").distinct().join(about, "h", "left_anti").select("id").distinct()
+    # One phrase decision for each group of equal messages.
+    groups = parts.groupBy("h").agg(F.min("form").alias("form"), F.max("form").alias("form_b"), F.countDistinct("id", "k").alias("n_docs"), F.countDistinct("source").alias("n_sources"))
+    short = lambda x: F.length(x) < 400
+
+    def kind(x: Column) -> Column:
+        return F.when((_filler_share(x) >= 0.8) | short(x) & x.rlike(_any(FILLER)) & ~x.rlike(_any(MENTION)), "filler").when(short(x) & x.rlike(_any(SCRIPTS)), "script").when(short(x) & x.rlike(_any(ERRORS)), "error")
+
+    # Page furniture is taken off wherever it stands in a message.
+    left = F.regexp_replace("form", _any(FURNITURE), " ")
+    n_left = F.size(F.regexp_extract_all(F.when(short(F.col("form")), left).otherwise(F.col("form")), F.lit(r"([\p{L}\p{Nd}]+)"), F.lit(1)))
+    groups = groups.withColumn("n_words", n_left).withColumn("kind", F.when(kind(F.col("form")).eqNullSafe(kind(F.col("form_b"))), kind(F.col("form"))))
+    told = F.when((F.col("kind") == "filler") | (F.col("n_words") <= NOTICE_WORDS), F.col("kind"))
+    groups = cut_lineage(groups.select("h", "n_docs", "n_sources", "n_words", told.alias("kind")))
+    # Only documents with a notice or filler can consist of one.
+    slim = parts.select("id", "k", "h")
+    noticed = slim.join(groups.where("kind is not null").select("h"), "h", "left_semi").select("id", "k").distinct()
+    whole = cut_lineage(slim.join(noticed, ["id", "k"], "left_semi").join(groups, "h"))
     # Wide messages that stand beside notices in most of their documents.
-    noticed = parts.where("kind is not null").select("id", "k").distinct()
-    beside = parts.where(f"kind is null and n_words > {TITLE_WORDS} and n_words <= {NOTICE_WORDS}").select("id", "k", "h").distinct().join(noticed, ["id", "k"]).join(wide, "h")
-    furniture = beside.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.first("n_docs").alias("n_docs")).where(F.col("n") >= FURNITURE_SHARE * F.col("n_docs")).select("h", F.lit(True).alias("beside"))
-    whole = parts.join(noticed, ["id", "k"], "left_semi").join(furniture, "h", "left")
-    title = F.col("n_words") <= TITLE_WORDS
-    whole = whole.groupBy("id", "k").agg(
-        F.sum(F.when(F.col("kind").isNull() & F.col("beside").isNull() & ~title, F.col("n_words")).otherwise(0)).alias("other"),
+    unknown = F.col("kind").isNull() & (F.col("n_words") > TITLE_WORDS)
+    wide = whole.where(unknown & (F.col("n_words") <= NOTICE_WORDS) & (F.col("n_docs") >= WIDE_DOCS) & (F.col("n_sources") >= WIDE_SOURCES)).select("id", "k", "h", "n_docs").distinct()
+    furniture = wide.groupBy("h", "n_docs").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FURNITURE_SHARE * F.col("n_docs")).select("h", F.lit(True).alias("beside"))
+    whole = whole.join(furniture, "h", "left").groupBy("id", "k").agg(
+        F.max(unknown & F.col("beside").isNull()).alias("other"),
         F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("n_words"))).alias("why"),
     )
-    consists = whole.where(F.col("other") == 0).select("id", "why")
+    consists = whole.where("not other").select("id", "why")
     return holds.select("id", F.lit("placeholder").alias("why")).unionByName(consists).groupBy("id").agg(F.min("why").alias("why"))
