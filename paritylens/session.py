@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,26 +28,44 @@ def local_session(cores: int | str = "*", app: str = "paritylens", **conf: str)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
     ``spark.checkpoint.dir`` of the session names it.  Only where that setting
-    is absent (tests on one machine) a temporary folder is made.
+    is absent (tests on one machine) a temporary folder is made, which goes
+    when the interpreter ends.
     """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="paritylens-checkpoint-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named
+        named = tempfile.mkdtemp(prefix="paritylens-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
+    """Write ``df`` as a table in the shared folder and read it from there.
 
-    The files outlive a lost executor, so nothing before this point is
-    computed again.
+    The table outlives a lost executor, so nothing before this point is
+    computed again, and it is computed once.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/paritylens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove the tables that ``cut_lineage`` wrote for this application."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/paritylens/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    A small table in one file would leave all work per row to one task.  A
+    table that is already in that many pieces is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
