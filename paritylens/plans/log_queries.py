@@ -41,8 +41,8 @@ def s5_health(spark, d):
 
 
 @query(f"""WITH {LAST}, planned AS (SELECT recording_id, input_id, CAST(i AS INTEGER) AS sample_idx FROM (SELECT DISTINCT recording_id, input_id FROM samples), range({K}) r(i)),
-both AS (SELECT recording_id, p.sample_idx IS NOT NULL AS p, t.sample_idx IS NOT NULL AS d FROM (SELECT *, 1 AS one FROM planned) p FULL JOIN (SELECT * FROM tup WHERE complete) t USING (recording_id, input_id, sample_idx))
-SELECT recording_id, count(*) FILTER (WHERE p) AS planned, count(*) FILTER (WHERE p AND d) AS done, count(*) FILTER (WHERE d AND NOT p) AS stale, count(*) FILTER (WHERE p AND NOT d) AS left_over FROM both GROUP BY 1""")
+bt AS (SELECT recording_id, p.sample_idx IS NOT NULL AS p, t.sample_idx IS NOT NULL AS d FROM (SELECT *, 1 AS one FROM planned) p FULL JOIN (SELECT * FROM tup WHERE complete) t USING (recording_id, input_id, sample_idx))
+SELECT recording_id, count(*) FILTER (WHERE p) AS planned, count(*) FILTER (WHERE p AND d) AS done, count(*) FILTER (WHERE d AND NOT p) AS stale, count(*) FILTER (WHERE p AND NOT d) AS left_over FROM bt GROUP BY 1""")
 def s6_progress(spark, d):
     return log.progress(samples(spark, d), K)
 
