@@ -149,9 +149,9 @@ def same_form_classes(df: DataFrame, by: list[str], id_col: str, text: str) -> D
     """(by..., id, raw, form_key, n_records, n_texts) of records whose form another record shares.
 
     ``raw`` and ``form_key`` are 128-bit keys of the text and of its form.
-    Null texts belong to no class.  A repeated row with the same id counts once.
+    Null texts, and rows without an id, belong to no class.  A repeated row with the same id counts once.
     """
-    records = consistent_form(spread(df.where(F.col(text).isNotNull()).select(*by, F.col(id_col).alias("id"), F.col(text).alias("__text"))), "__text", "__form")
+    records = consistent_form(spread(df.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(*by, F.col(id_col).alias("id"), F.col(text).alias("__text"))), "__text", "__form")
     records = records.select(*by, "id", text_key(F.col("__text")).alias("raw"), text_key(F.col("__form")).alias("form_key"))
     records = cut_lineage(records.dropDuplicates([*by, "id", "raw"]))
     # Copies are counted per text before the classes meet, so a hot class

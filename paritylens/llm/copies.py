@@ -60,10 +60,10 @@ def copy_classes(df: DataFrame, id_col: str, text: str) -> DataFrame:
     Byte-identical contents are counted first; only distinct ones are brought
     to consistent form and canonical words, and the counts are summed over
     the full canonical text.  Null contents, and contents without words, are
-    left out.  A repeated row counts as often as it occurs in ``n_copies``
+    left out, as are rows without an id.  A repeated row counts as often as it occurs in ``n_copies``
     and has one row here.
     """
-    records = spread(df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))).withColumn("raw", text_key(F.col("text")))
+    records = spread(df.where(F.col(id_col).isNotNull() & F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))).withColumn("raw", text_key(F.col("text")))
     survivors = records.groupBy("raw").agg(F.first("text").alias("text"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     canonical = consistent_form(survivors, "text").select("raw", "least", "n", canonical_text(F.col("form")).alias("content")).where("content <> ''")
     canonical = cut_lineage(canonical)
