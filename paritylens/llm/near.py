@@ -14,11 +14,13 @@ sets and a record is a sorted array of tokens.
    a record meets those that are at most ``1 / t`` times its size.  A token
    that more than BLOCK records have is cut into blocks; pairs of blocks are
    separate tiles in separate tasks.
-4. In a tile, bitmaps of SIGNATURE bits bound the overlap from above: bits set
-   in one record alone need as many tokens that the other lacks.
+4. Where a pair meets at its first common token, all common tokens stand at or
+   after it in both records, which bounds the overlap; bitmaps of SIGNATURE
+   words bound it again: bits set in one record alone need as many tokens that
+   the other lacks.
 5. What remains is intersected exactly.
 
-Nothing but the bound in 2 and 4 drops a pair, and both are exact.
+Nothing but the bounds in 2 and 4 drops a pair, and they are exact.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,8 +87,8 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_records(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, class_key, n, tokens) of every record with a text."""
-    rows = df.where(F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    """(id, class_key, n, tokens) of every record with an id and a text."""
+    rows = df.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     forms = consistent_form(spread(rows), "text").select("id", "form")
     return forms.mapInArrow(_tokenise, "id long, class_key binary, n int, tokens array<long>")
 
@@ -120,8 +121,8 @@ def _prefixes(threshold: Fraction, counters):
             kept, own = tokens[order][keep], owner[keep]
             ids = batch.column("id").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kept), pa.array(ids[own]), pa.array(sizes[own], pa.int32()), *(pa.array(sig[own, i].view(np.int64)) for i in range(SIGNATURE))],
-                names=["token", "id", "n", *(f"s{i}" for i in range(SIGNATURE))],
+                [pa.array(kept), pa.array(ids[own]), pa.array(sizes[own], pa.int32()), pa.array(rank[keep], pa.int32()), *(pa.array(sig[own, i].view(np.int64)) for i in range(SIGNATURE))],
+                names=["token", "id", "n", "place", *(f"s{i}" for i in range(SIGNATURE))],
             )
 
     return run
@@ -131,59 +132,63 @@ def _sweep(threshold: Fraction):
     """Rows sorted by (token, i, j, n, id) -> candidate pairs of each tile."""
     num, den = threshold.numerator, threshold.denominator
 
-    def tile(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j, own = (rows[c].to_numpy() for c in ("i", "j", "own"))
-        start = np.r_[True, (np.diff(rows["token"].to_numpy()) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]
-        at = np.cumsum(start)
-        n, ids = rows["n"].to_numpy().astype(np.int64), rows["id"].to_numpy()
-        sig = rows[[f"s{k}" for k in range(SIGNATURE)]].to_numpy().view(np.uint64)
+    def tile(rows: pa.Table) -> pa.RecordBatch:
+        col = lambda c: rows.column(c).to_numpy()
+        token, i, j, own = (col(c) for c in ("token", "i", "j", "own"))
+        at = np.cumsum(np.r_[0, (np.diff(token) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)])
+        n, ids = col("n").astype(np.int64), col("id")
+        # Tokens from the common one on; size of which a partner has at most.
+        rest = n - col("place")
+        widest = den * n
+        sig = [col(f"s{k}").view(np.uint64) for k in range(SIGNATURE)]
         found_a, found_b = [], []
-        live = np.arange(len(rows) - 1)
+        live = np.arange(len(n) - 1)
         step = 0
         while len(live):
             step += 1
-            live = live[live + step < len(rows)]
+            live = live[: np.searchsorted(live, len(n) - step)]
             other = live + step
             # Sizes ascend within a tile, so a record that has left its band is done.
-            near = (at[live] == at[other]) & (den * n[live] >= num * n[other])
+            near = (at[live] == at[other]) & (widest[live] >= num * n[other])
             live, other = live[near], other[near]
-            if not len(live):
-                break
-            a, b = live, other
-            cross = (i[a] == j[a]) | (own[a] != own[b])
-            a, b = a[cross], b[cross]
+            need = num * (n[live] + n[other])
+            fits = (den + num) * np.minimum(rest[live], rest[other]) >= need
+            fits &= (i[live] == j[live]) | (own[live] != own[other])
+            a, b, need = live[fits], other[fits], need[fits]
+            if not len(a):
+                continue
             lack_a = np.zeros(len(a), np.int64)
             lack_b = np.zeros(len(a), np.int64)
-            for k in range(SIGNATURE):
-                lack_a += np.bitwise_count(sig[a, k] & ~sig[b, k])
-                lack_b += np.bitwise_count(sig[b, k] & ~sig[a, k])
-            bound = np.minimum(n[a] - lack_a, n[b] - lack_b)
-            fits = (den + num) * bound >= num * (n[a] + n[b])
+            for s in sig:
+                x, y = s[a], s[b]
+                both = x & y
+                lack_a += np.bitwise_count(x ^ both)
+                lack_b += np.bitwise_count(y ^ both)
+            fits = (den + num) * np.minimum(n[a] - lack_a, n[b] - lack_b) >= need
             found_a.append(ids[a[fits]])
             found_b.append(ids[b[fits]])
-        if not found_a:
-            return pd.DataFrame({"id_a": np.zeros(0, np.int64), "id_b": np.zeros(0, np.int64)})
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return pd.DataFrame({"id_a": np.minimum(a, b), "id_b": np.maximum(a, b)}).drop_duplicates()
+        pairs = np.stack([np.concatenate(found_a), np.concatenate(found_b)]) if found_a else np.zeros((2, 0), np.int64)
+        pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["id_a", "id_b"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
             held.append(batch)
             size += len(batch)
             if size < CHUNK:
                 continue
-            rows = pd.concat(held, ignore_index=True)
-            last = rows[["token", "i", "j"]].iloc[-1]
+            rows = pa.Table.from_batches(held)
+            key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j")])
             # The last tile may go on in the next batch.
-            whole = np.flatnonzero((rows[["token", "i", "j"]] != last).any(axis=1).to_numpy())
-            cut = whole[-1] + 1 if len(whole) else 0
+            before = np.flatnonzero((key != key[:, -1:]).any(axis=0))
+            cut = int(before[-1]) + 1 if len(before) else 0
             if cut:
-                yield tile(rows.iloc[:cut])
-            held, size = [rows.iloc[cut:].reset_index(drop=True)], len(rows) - cut
+                yield tile(rows.slice(0, cut))
+            held, size = rows.slice(cut).to_batches(), len(rows) - cut
         if size:
-            yield tile(pd.concat(held, ignore_index=True))
+            yield tile(pa.Table.from_batches(held))
 
     return run
 
@@ -194,11 +199,11 @@ def _tiles(index: DataFrame) -> DataFrame:
     crowded = index.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     wide = index.join(crowded, "token", "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int"))
     mates = F.transform(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("i"), F.greatest(b, F.col("own")).alias("j")))
-    return wide.withColumn("mate", F.explode(mates)).select("token", F.col("mate.i").alias("i"), F.col("mate.j").alias("j"), "own", "n", "id", *(f"s{k}" for k in range(SIGNATURE)))
+    return wide.withColumn("mate", F.explode(mates)).select("token", F.col("mate.i").alias("i"), F.col("mate.j").alias("j"), "own", "n", "place", "id", *(f"s{k}" for k in range(SIGNATURE)))
 
 
 def near_classes(df: DataFrame, id_col: str, text: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of the records that have a text.
+    """(members, links) of the records that have an id and a text.
 
     members: (id, class_key, rep, n_records): records with the same words as
     often share a class; ``rep`` is its smallest id.
@@ -216,10 +221,10 @@ def near_classes(df: DataFrame, id_col: str, text: str, threshold: float = 0.8)
     reps = records.join(classes.select("class_key", F.col("rep").alias("id")), ["class_key", "id"], "left_semi").where("n > 0").select("id", "n", "tokens").dropDuplicates(["id"])
     reps = cut_lineage(reps)
     counters = spark.sparkContext.broadcast(_counters(reps))
-    schema = "token long, id long, n int, " + ", ".join(f"s{i} long" for i in range(SIGNATURE))
+    schema = "token long, id long, n int, place int, " + ", ".join(f"s{i} long" for i in range(SIGNATURE))
     index = cut_lineage(reps.mapInArrow(_prefixes(t, counters), schema))
     tiles = _tiles(index).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "id")
-    candidates = tiles.mapInPandas(_sweep(t), "id_a long, id_b long").distinct()
+    candidates = tiles.mapInArrow(_sweep(t), "id_a long, id_b long").distinct()
     a = reps.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
     b = reps.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
     both = candidates.join(a, "id_a").join(b, "id_b").withColumn("common", F.size(F.array_intersect("t_a", "t_b")))
