@@ -110,10 +110,10 @@ def residue(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
 
     A document with at least one placeholder in a sentence of its own is a
     case; so is one that consists of notices or filler with or without page
-    furniture and titles.  Null and empty texts are no cases.  A repeated row
+    furniture and titles.  Null and empty texts are no cases; rows without an id are left out.  A repeated row
     has one row here.
     """
-    docs = spread(df.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))).withColumn("k", text_key(F.col("text")))
+    docs = spread(df.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))).withColumn("k", text_key(F.col("text")))
     parts = docs.select("id", "k", "source", F.explode(messages(F.col("text"))).alias("message"))
     marks = F.array_distinct(F.regexp_extract_all("message", F.lit(f"({STRONG})"), F.lit(1)))
     weak = F.filter(F.array_distinct(F.regexp_extract_all("message", F.lit(f"({WEAK})"), F.lit(1))), lambda x: ~(F.substring(x, 1, 1).eqNullSafe("<") & _field(x).isin(HTML_TAGS)))
@@ -144,9 +144,11 @@ def residue(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     # Page furniture is taken off wherever it stands in a message.
     left = F.regexp_replace("form", _any(FURNITURE), " ")
     n_left = F.size(F.regexp_extract_all(F.when(short(F.col("form")), left).otherwise(F.col("form")), F.lit(r"([\p{L}\p{Nd}]+)"), F.lit(1)))
-    groups = groups.withColumn("n_words", n_left).withColumn("kind", F.when(kind(F.col("form")).eqNullSafe(kind(F.col("form_b"))), kind(F.col("form"))))
-    told = F.when((F.col("kind") == "filler") | (F.col("n_words") <= NOTICE_WORDS), F.col("kind"))
-    groups = cut_lineage(groups.select("h", "n_docs", "n_sources", "n_words", told.alias("kind")))
+    # Written before it is used again, so each rule runs once for each group.
+    groups = cut_lineage(groups.select("h", "n_docs", "n_sources", "form_b", (F.col("form") == F.col("form_b")).alias("one"), n_left.alias("n_words"), kind(F.col("form")).alias("first_kind")))
+    agreed = F.when(F.col("one"), F.col("first_kind")).when(F.col("first_kind").isNotNull(), F.when(kind(F.col("form_b")) == F.col("first_kind"), F.col("first_kind")))
+    told = F.when((F.col("first_kind") == "filler") | (F.col("n_words") <= NOTICE_WORDS), agreed)
+    groups = groups.select("h", "n_docs", "n_sources", "n_words", told.alias("kind"))
     # Only documents with a notice or filler can consist of one.
     slim = parts.select("id", "k", "h")
     noticed = slim.join(groups.where("kind is not null").select("h"), "h", "left_semi").select("id", "k").distinct()
