@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Most rows of a catalogue that are broadcast.
+POLICIES = 1_000
+
 
 def argument(args: Column, *names: str) -> Column:
     """The first argument present of several spellings; ``id`` stands in for each."""
@@ -30,12 +33,13 @@ def search(calls: DataFrame, events: DataFrame, key: str, low: str = "low", high
 def policy(calls: DataFrame, policies: DataFrame) -> DataFrame:
     """Calls with the first policy whose name holds the topic or is held by it.
 
-    Policies are a fixed catalogue, a few rows, and are broadcast for the
-    comparison of texts; distinct topics are compared once.
+    Policies are a catalogue; up to POLICIES of them are broadcast for the
+    comparison of texts.  Distinct topics are compared once.
     """
     topics = calls.select("topic").distinct()
     t, n = F.lower("topic"), F.lower("name")
-    hit = topics.join(F.broadcast(policies), n.contains(t) | t.contains(n), "left")
+    few = policies.limit(POLICIES + 1).count() <= POLICIES
+    hit = topics.join(F.broadcast(policies) if few else policies, n.contains(t) | t.contains(n), "left")
     first = hit.groupBy(F.col("topic").alias("__topic")).agg(F.min_by("name", "ordinal").alias("policy"))
     return calls.join(first, F.col("topic").eqNullSafe(F.col("__topic")), "left").drop("__topic")
 
