@@ -111,6 +111,15 @@ def gate(scores: DataFrame, recording: list[str], limit: float = 0.25) -> DataFr
     return scores.join(share, recording).withColumn("allowed", ~blocked).withColumn("embedding_t", zero("embedding_t")).withColumn("embedding_d", zero("embedding_d"))
 
 
+def positional_pairs(samples: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., place, side, a, b): outputs at equal places of A and B (side t) and of A and A' (side d); the longer cloud's rest has no partner."""
+    w = Window.partitionBy(*by, "arm").orderBy("sample_idx", "ord", "line_no")
+    x = samples.select(*by, "arm", "output", F.row_number().over(w).alias("place"))
+    a = x.where("arm = 'A'").select(*by, "place", F.col("output").alias("a"))
+    other = x.where("arm <> 'A'").select(*by, "place", F.when(F.col("arm") == "B", "t").otherwise("d").alias("side"), F.col("output").alias("b"))
+    return a.join(other, [*by, "place"])
+
+
 def positional(pairs: DataFrame, by: list[str], score: str) -> DataFrame:
     """Mean of scores given for pairs of outputs at equal places of two clouds."""
     return pairs.groupBy(*by).agg(F.avg(score).alias(score))

@@ -15,6 +15,20 @@ DESIGN_R = {
 }
 
 
+#: Comparisons of two recordings of one system: the second against the first one's own repeat, against its own, and within the second.
+DRIFT = {
+    "cross_p1null": ("p1.A", "p1.A_prime", "p2.A"),
+    "cross_p2null": ("p2.A", "p2.A_prime", "p1.A"),
+    "within_p2": ("p2.A", "p2.A_prime", "p2.B"),
+}
+
+
+def phases(samples: DataFrame, first: str, second: str) -> DataFrame:
+    """Samples of two recordings as one, arms marked by phase."""
+    phase = F.when(F.col("recording_id") == first, "p1.").when(F.col("recording_id") == second, "p2.")
+    return samples.where(F.col("recording_id").isin(first, second)).withColumn("arm", F.concat(phase, "arm")).withColumn("recording_id", F.lit(f"{first}/{second}"))
+
+
 def pairing_map(spark: SparkSession, pairings: dict[str, tuple[str, str, str]]) -> DataFrame:
     rows = [(p, src, dst) for p, arms in pairings.items() for src, dst in zip(arms, ("A", "A_prime", "B"))]
     return spark.createDataFrame(rows, "pairing string, src_arm string, arm string")

@@ -329,3 +329,32 @@ def u3_u5_lexical_clusters(spark, d):
 def q4_q15_reports(spark, d):
     flagged, sel, best = plan.judged(_scored(spark, d), BY, 0.10)
     return plan.report(flagged, sel, best, BY, 0.10)
+
+
+@query(f"""WITH {LAST}, o AS (SELECT recording_id, input_id, arm, output, row_number() OVER (PARTITION BY recording_id, input_id, arm ORDER BY sample_idx, ord, line_no) AS place FROM usable)
+SELECT a.recording_id, a.input_id, round(avg(abs(length(a.output) - length(b.output))) FILTER (WHERE b.arm = 'B'), 9) AS target, round(avg(abs(length(a.output) - length(b.output))) FILTER (WHERE b.arm = 'A_prime'), 9) AS decoy
+FROM o a JOIN o b ON a.recording_id = b.recording_id AND a.input_id = b.input_id AND a.place = b.place AND a.arm = 'A' AND b.arm IN ('B', 'A_prime') GROUP BY ALL""")
+def u7_positional_scores(spark, d):
+    """A channel that scores outputs at equal places; the difference of lengths stands in for a model's score."""
+    kept = log.usable(log.replayed(samples(spark, d))).where("arm in ('A', 'A_prime', 'B')")
+    p = modes.positional_pairs(kept, ["recording_id", "input_id"]).withColumn("score", F.abs(F.length("a") - F.length("b")))
+    mean = lambda side: F.round(F.avg(F.when(F.col("side") == side, F.col("score"))), 9)
+    return p.groupBy("recording_id", "input_id").agg(mean("t").alias("target"), mean("d").alias("decoy"))
+
+
+@query()
+def q10_drift_control(spark, d):
+    """The first recording of the log against the second: what changed between them and within the later one."""
+    first, second = [r[0] for r in samples(spark, d).select("recording_id").distinct().orderBy("recording_id").limit(2).collect()]
+    both = pairings.relabel(pairings.phases(_moded(spark, d), first, second), pairings.DRIFT)
+    by = ["recording_id", "pairing"]
+    flagged, _, _ = plan.judged(plan.scores(both, by), by, 0.10)
+    return flagged.groupBy(*by).agg(F.countDistinct("input_id").alias("n_inputs"), F.countDistinct(F.when(F.col("flagged"), F.col("input_id"))).alias("n_flagged"))
+
+
+@query(ALL.rstrip() + """, f AS (SELECT recording_id, channel, count(*) FILTER (WHERE flagged) AS n_flagged, count(*) AS n_inputs FROM flags GROUP BY ALL)
+SELECT recording_id, channel, n_inputs, n_flagged, round(n_flagged / n_inputs, 9) AS share FROM f""")
+def q9_q11_channel_rows(spark, d):
+    """One row per recording and channel, as the study's matrix has them."""
+    f = plan.judged(_scored(spark, d), BY, 0.10)[0]
+    return _rounded(f.groupBy("recording_id", "channel").agg(F.count(F.lit(1)).alias("n_inputs"), F.count_if(F.col("flagged")).alias("n_flagged")).withColumn("share", F.col("n_flagged") / F.col("n_inputs")), "share")

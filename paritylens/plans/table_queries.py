@@ -81,7 +81,8 @@ def x15_stable_hash(spark, d):
     return samples(spark, d).select("input_id", F.floor(h / F.lit(16)).cast("long").alias("h")).distinct()
 
 
-@query()
+@query("""WITH h AS (SELECT sha256(CAST(msg_id AS VARCHAR) || coalesce(chr(0) || text, '') || chr(10)) AS h FROM messages), r AS (SELECT substr(h, 1, 3) AS r, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1)
+SELECT substr(sha256(string_agg(d, '' ORDER BY r)), 1, 16) AS fingerprint FROM r""")
 def x16_fingerprint(spark, d):
     return corpus_fingerprint(table(spark, d, "messages").select(F.col("msg_id").cast("string").alias("input_id"), "text"))
 
@@ -192,9 +193,11 @@ def a22_evaluate(spark, d):
     return e.select(*(F.round(c, 9).alias(c) if c in ("rate", "lo", "hi", "auc", "median_score", "threshold") else F.col(c) for c in e.columns))
 
 
-@query()
+@query(f"""WITH {PROBES}, th AS (SELECT shape, quantile_cont(score, 0.95) AS threshold FROM pr WHERE relation = 'PRESERVING' GROUP BY 1),
+nm AS (SELECT pr.*, CASE relation WHEN 'BREAKING' THEN category WHEN 'REGISTER' THEN '[reg] ' || category ELSE '[fp] ' || category END AS name, threshold FROM pr JOIN th USING (shape))
+SELECT shape AS level, name AS category, count(*) AS n, count(*) FILTER (WHERE score > threshold) AS detected, round(count(*) FILTER (WHERE score > threshold) / count(*), 9) AS rate FROM nm GROUP BY ALL""")
 def a22_evaluate_per_shape(spark, d):
-    return probes.evaluate(_probes(spark, d), per_shape=True)
+    return probes.evaluate(_probes(spark, d), per_shape=True).select("level", "category", "n", "detected", F.round("rate", 9).alias("rate"))
 
 
 @query(f"WITH {PROBES} SELECT count(*) FILTER (WHERE relation = 'BREAKING') AS n_pos, count(*) FILTER (WHERE relation = 'PRESERVING') AS n_neg, round((SELECT avg(CASE WHEN a.score > b.score THEN 1e0 WHEN a.score = b.score THEN 0.5e0 ELSE 0 END) FROM pr a, pr b WHERE a.relation = 'BREAKING' AND b.relation = 'PRESERVING'), 9) AS auc FROM pr")
@@ -241,7 +244,7 @@ def a32_tool_scores(spark, d):
     return diagnosis.tool_scores(o)
 
 
-@query()
+@query("SELECT client_id, coalesce(nullif(lower(trim(status)), ''), 'blank') AS verdict, count(*) AS n FROM campaign_orders WHERE client_id IS NOT NULL GROUP BY ALL")
 def a26_w8_verdicts(spark, d):
     """A queue written out of the orders, one per client, and read back line by line."""
     w = Window.partitionBy("client_id").orderBy("order_id", "loaded_at")
@@ -357,7 +360,8 @@ def g4_refusal(spark, d):
     return faults.inject(samples(spark, d), "refusal", 1.0).select("recording_id", "line_no", "output")
 
 
-@query()
+@query(rf"""WITH s AS (SELECT recording_id, line_no, output, {strip_sql('output')} AS t, error IS NULL AND json_valid({strip_sql('output')}) AND starts_with({strip_sql('output')}, '{{') AND regexp_replace({strip_sql('output')}, '\s', '', 'g') <> '{{}}' AS act FROM samples)
+SELECT recording_id, line_no, act AS activated, CASE WHEN act THEN rtrim(t, '}}') || ',}}' ELSE output END AS output FROM s""")
 def g5_schema_break(spark, d):
     return faults.inject(samples(spark, d), "schema_break", 0.8).select("recording_id", "line_no", "activated", "output")
 
