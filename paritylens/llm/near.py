@@ -142,7 +142,8 @@ def _sweep(threshold: Fraction):
         widest = den * n
         sig = [col(f"s{k}").view(np.uint64) for k in range(SIGNATURE)]
         found_a, found_b = [], []
-        live = np.arange(len(n) - 1)
+        # The smaller of two records has its common token early: its partner is no smaller.
+        live = np.flatnonzero((den + num) * rest >= 2 * num * n)
         step = 0
         while len(live):
             step += 1
