@@ -1,9 +1,9 @@
 """Problem 8: unfilled templates, filler, error pages and demands for scripts.
 
 Documents are cut into lines and sentences.  Numbers, codes, addresses, dates
-and names are masked; equal masked messages are grouped over all documents
-and sources, and each group is classified once by phrase rules, placeholder
-rules and by what it stands beside.
+and names are masked.  Every distinct masked message is classified once by
+phrase rules; messages of one shape are grouped over all documents and sources
+to see how widely they recur and what they stand beside.
 """
 
 from __future__ import annotations
@@ -134,8 +134,9 @@ def residue(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     about = per_message.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("marks").alias("kinds"), F.first("marks").alias("marks")).where(f"n >= {WIDE_DOCS} and kinds = 1")
     about = about.where(~F.col("marks").rlike(r"^[_X%sd ]+$")).select("h")
     holds = hits.where("not mention").select("id", "k", "h").distinct().join(about, "h", "left_anti").select("id").distinct()
-    # One phrase decision for each group of equal messages.
-    groups = parts.groupBy("h").agg(F.min("form").alias("form"), F.max("form").alias("form_b"), F.countDistinct("id", "k").alias("n_docs"), F.countDistinct("source").alias("n_sources"))
+    # One phrase decision for each distinct form; a shape holds forms of different kinds.
+    parts = parts.withColumn("f", F.xxhash64("form"))
+    forms = parts.select("h", "f", "form").distinct()
     short = lambda x: F.length(x) < 400
 
     def kind(x: Column) -> Column:
@@ -144,21 +145,24 @@ def residue(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     # Page furniture is taken off wherever it stands in a message.
     left = F.regexp_replace("form", _any(FURNITURE), " ")
     n_left = F.size(F.regexp_extract_all(F.when(short(F.col("form")), left).otherwise(F.col("form")), F.lit(r"([\p{L}\p{Nd}]+)"), F.lit(1)))
-    # Written before it is used again, so each rule runs once for each group.
-    groups = cut_lineage(groups.select("h", "n_docs", "n_sources", "form_b", (F.col("form") == F.col("form_b")).alias("one"), n_left.alias("n_words"), kind(F.col("form")).alias("first_kind")))
-    agreed = F.when(F.col("one"), F.col("first_kind")).when(F.col("first_kind").isNotNull(), F.when(kind(F.col("form_b")) == F.col("first_kind"), F.col("first_kind")))
-    told = F.when((F.col("first_kind") == "filler") | (F.col("n_words") <= NOTICE_WORDS), agreed)
-    groups = groups.select("h", "n_docs", "n_sources", "n_words", told.alias("kind"))
+    # Written before it is used again, so each rule runs once for each form.
+    forms = cut_lineage(forms.select("h", "f", n_left.alias("n_words"), kind(F.col("form")).alias("kind")))
+    forms = forms.withColumn("kind", F.when((F.col("kind") == "filler") | (F.col("n_words") <= NOTICE_WORDS), F.col("kind")))
     # Only documents with a notice or filler can consist of one.
-    slim = parts.select("id", "k", "h")
-    noticed = slim.join(groups.where("kind is not null").select("h"), "h", "left_semi").select("id", "k").distinct()
-    whole = cut_lineage(slim.join(noticed, ["id", "k"], "left_semi").join(groups, "h"))
-    # Wide messages that stand beside notices in most of their documents.
+    slim = parts.select("id", "k", "h", "f")
+    noticed = slim.join(forms.where("kind is not null").select("h", "f"), ["h", "f"], "left_semi").select("id", "k").distinct()
+    whole = cut_lineage(slim.join(noticed, ["id", "k"], "left_semi").join(forms, ["h", "f"]))
+    # Wide messages that stand beside notices in most of their documents,
+    # counted over the members of a shape that are no notices themselves.
     unknown = F.col("kind").isNull() & (F.col("n_words") > TITLE_WORDS)
-    wide = whole.where(unknown & (F.col("n_words") <= NOTICE_WORDS) & (F.col("n_docs") >= WIDE_DOCS) & (F.col("n_sources") >= WIDE_SOURCES)).select("id", "k", "h", "n_docs").distinct()
-    furniture = wide.groupBy("h", "n_docs").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FURNITURE_SHARE * F.col("n_docs")).select("h", F.lit(True).alias("beside"))
+    asked = cut_lineage(whole.where(unknown & (F.col("n_words") <= NOTICE_WORDS)).select("h").distinct())
+    plain = forms.where("kind is null").join(asked, "h", "left_semi").select("h", "f")
+    spans = parts.join(plain, ["h", "f"], "left_semi").groupBy("h").agg(F.countDistinct("id", "k").alias("n_docs"), F.countDistinct("source").alias("n_sources"))
+    near = whole.where("kind is null").join(asked, "h", "left_semi").groupBy("h").agg(F.countDistinct("id", "k").alias("n"))
+    wide = (F.col("n_docs") >= WIDE_DOCS) & (F.col("n_sources") >= WIDE_SOURCES)
+    furniture = near.join(spans, "h").where(wide & (F.col("n") >= FURNITURE_SHARE * F.col("n_docs"))).select("h", F.lit(True).alias("beside"))
     whole = whole.join(furniture, "h", "left").groupBy("id", "k").agg(
-        F.max(unknown & F.col("beside").isNull()).alias("other"),
+        F.max(unknown & (F.col("beside").isNull() | (F.col("n_words") > NOTICE_WORDS))).alias("other"),
         F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("n_words"))).alias("why"),
     )
     consists = whole.where("not other").select("id", "why")

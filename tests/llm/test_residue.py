@@ -37,3 +37,12 @@ def test_repeated_rows_nulls_long_and_no_rows(spark):
     df = spark.createDataFrame([(1, "Access denied.", None), (1, "Access denied.", None), (2, long, "a"), (None, "Access denied.", "a")], "id long, text string, source string")
     assert [(r.id, r.why) for r in residue(df, "id", "text", "source").collect()] == [(1, "error")]
     assert residue(df.limit(0), "id", "text", "source").count() == 0
+
+
+def test_every_form_of_a_shape_is_judged_by_itself(spark):
+    texts = {"403 Forbidden.": "error", "404 Gelstaara.": None, "409 Pelstaara.": None, "999 Forbidden.": "error", "Errore 404.": "error", "Abschnitt 17.": None, "Zwischen 18.": None}
+    df = spark.createDataFrame([(i, t, f"s{i % 3}") for i, t in enumerate(texts)], "id long, text string, source string")
+    # First the smallest and the largest form of a shape disagree, then they agree.
+    for gone in ("999 Forbidden.", "no text"):
+        got = {r.id: r.why for r in residue(df.where(f"text <> '{gone}'"), "id", "text", "source").collect()}
+        assert got == {i: why for i, (t, why) in enumerate(texts.items()) if why and t != gone}
