@@ -68,6 +68,8 @@ _NAME = r"[\p{L}][\p{L}\p{Nd}_ .-]{0,40}"
 STRONG = rf"\{{\{{ ?{_NAME} ?\}}\}}|<<{_NAME}>>|\$\{{ ?{_NAME} ?\}}|(?<!\$)\{{{_NAME}\}}|@@{_NAME}@@|%[\p{{L}}_]{{2,40}}%|\[\[{_NAME}\]\]|(?<![\p{{L}}\p{{Nd}}%])%[sd](?![\p{{L}}\p{{Nd}}])|(?<![\p{{L}}\p{{Nd}}_])_{{3,}}(?![\p{{L}}\p{{Nd}}_])|(?<![\p{{L}}\p{{Nd}}])X{{3,}}(?![\p{{L}}\p{{Nd}}])"
 WEAK = rf"(?<!\[)\[{_NAME}\](?![\](])|(?<!<)<{_NAME}>(?!>)|(?<![\p{{L}}\p{{Nd}}_])__[\p{{L}}][\p{{L}}\p{{Nd}}_]{{0,40}}?__(?![\p{{L}}\p{{Nd}}_])"
 
+#: A program that leaves a mark as it stands: the sentence is about the mark.
+KEPT = rf"(?i)\b(system|program|software|tool|script|form|editor|converter|importer)s? (keep|leave|show|print|store|display)s? [\"'“‘]?(?-i:{STRONG}|{WEAK})[\"'”’]? (as (it is|is|they are)|unchanged|verbatim|literally|unfilled)\b"
 
 _MARKED = r"[{}\[\]<>%@_]|XXX"
 
@@ -118,7 +120,7 @@ def residue(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     marks = F.array_distinct(F.regexp_extract_all("message", F.lit(f"({STRONG})"), F.lit(1)))
     weak = F.filter(F.array_distinct(F.regexp_extract_all("message", F.lit(f"({WEAK})"), F.lit(1))), lambda x: ~(F.substring(x, 1, 1).eqNullSafe("<") & _field(x).isin(HTML_TAGS)))
     has_mark = F.col("message").rlike(_MARKED)
-    about_marks = F.coalesce(F.when(has_mark, F.lower("message").rlike(_any(MENTION))), F.lit(False))
+    about_marks = F.coalesce(F.when(has_mark, F.lower("message").rlike(_any(MENTION)) | F.col("message").rlike(KEPT)), F.lit(False))
     parts = parts.select("id", "k", "source", F.xxhash64(shape(F.trim("message"))).alias("h"), masked(F.trim("message")).alias("form"), F.when(has_mark, marks).alias("strong"), F.when(has_mark, weak).alias("weak"), about_marks.alias("mention"))
     parts = cut_lineage(parts)
     # Names of fields, as the plain marks of the whole corpus give them.
@@ -128,12 +130,8 @@ def residue(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     named = named.where(sure).unionByName(named.where(~sure).join(fields, "field", "left_semi").select(*named.columns))
     strong = parts.where(F.size("strong") > 0).select("id", "k", "h", "mention", F.explode("strong").alias("mark"))
     hits = strong.unionByName(named.select(*strong.columns))
-    # A sentence that always carries the very same marks writes about them;
-    # one from which values are missing carries the marks of many templates.
-    per_message = hits.groupBy("id", "k", "h").agg(F.array_join(F.array_sort(F.collect_set("mark")), " ").alias("marks"))
-    about = per_message.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("marks").alias("kinds"), F.first("marks").alias("marks")).where(f"n >= {WIDE_DOCS} and kinds = 1")
-    about = about.where(~F.col("marks").rlike(r"^[_X%sd ]+$")).select("h")
-    holds = hits.where("not mention").select("id", "k", "h").distinct().join(about, "h", "left_anti").select("id").distinct()
+    # Only the sentence itself tells that it writes about marks, however often it recurs.
+    holds = hits.where("not mention").select("id").distinct()
     # One phrase decision for each distinct form; a shape holds forms of different kinds.
     parts = parts.withColumn("f", F.xxhash64("form"))
     forms = parts.select("h", "f", "form").distinct()

@@ -46,3 +46,10 @@ def test_every_form_of_a_shape_is_judged_by_itself(spark):
     for gone in ("999 Forbidden.", "no text"):
         got = {r.id: r.why for r in residue(df.where(f"text <> '{gone}'"), "id", "text", "source").collect()}
         assert got == {i: why for i, (t, why) in enumerate(texts.items()) if why and t != gone}
+
+
+def test_a_template_sent_unfilled_many_times_is_a_case_each_time(spark):
+    rows = [(i, f"Dear {{{{client_name}}}}, your order R1234{i} will leave the dock.", f"s{i % 3}") for i in range(8)]
+    rows += [(100 + i, REAL + " We keep {{order}} as it is until [client_name] pays.", f"s{i % 3}") for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, text string, source string")
+    assert {(r.id, r.why) for r in residue(df, "id", "text", "source").collect()} == {(r[0], "placeholder") for r in rows}
