@@ -27,11 +27,13 @@ from paritylens.session import cut_lineage, spread
 #: unless that is itself outside this class.
 STABLE = r"\t\n\x20-\x7EÀ-ÖØ-öø-ÿĀ-İĴ-ľŁ-ňŊ-ž–—‘-„•€"
 _BREAKS = "\x0b\x0c\x1c\x1d\x1e\x85  "
-#: Groups of equal records up to this size are listed pair by pair; each
-#: record of a larger group is paired with this many of its first members.
+#: Of records with byte-identical texts, this many first ones (and one more)
+#: stand for the others; different texts are always paired with each other.
 REPRESENTATIVES = 64
-#: Groups above this size are spread over SALTS tasks.
+#: Groups of copies above this size are ranked in SALTS tasks.
 HOT_GROUP, SALTS = 10_000, 32
+#: Records of a class on either side of one tile of pairs.
+BLOCK = 2_000
 
 
 def _invisible(c: str) -> bool:
@@ -160,28 +162,42 @@ def same_form_classes(df: DataFrame, by: list[str], id_col: str, text: str) -> D
     return records.join(sizes.where("n_records > 1"), [*by, "form_key"])
 
 
-def class_pairs(members: DataFrame, group: list[str], different: Column | None = None) -> DataFrame:
+def first_copies(members: DataFrame, group: list[str]) -> DataFrame:
+    """``members`` (group..., id, raw) with ``first``: whether a record is among the first REPRESENTATIVES + 1 ids of its text in its class."""
+    text = [*group, "raw"]
+    many = members.groupBy(*text).agg(F.count(F.lit(1)).alias("n_copies")).where(F.col("n_copies") > REPRESENTATIVES + 1)
+    salted = members.select(*text, "id").join(many, text).withColumn("salt", F.when(F.col("n_copies") > HOT_GROUP, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
+    first = salted.withColumn("r", rank(*text, "salt")).where(F.col("r") <= REPRESENTATIVES + 1)
+    first = first.withColumn("r", rank(*text)).where(F.col("r") <= REPRESENTATIVES + 1)
+    last = first.groupBy(*text).agg(F.max("id").alias("last"))
+    return members.join(last, text, "left").withColumn("first", F.coalesce(F.col("id") <= F.col("last"), F.lit(True))).drop("last")
+
+
+def class_pairs(marked: DataFrame, group: list[str], different: Column | None = None) -> DataFrame:
     """Pairs id_a < id_b of each class.
 
-    ``members``: group..., id, n_records and what ``different`` compares of
-    ``a`` and ``b``.  Every record is paired with the first REPRESENTATIVES
-    ids of its class: all pairs of a class up to that size; of a larger class,
-    where all pairs would grow with the square, each record with the same
-    representatives, from which the class is known exactly.
+    ``marked``: group..., id, raw and first of ``first_copies``, and what
+    ``different`` compares of ``a`` and ``b``.  All pairs of different texts
+    are listed, but of more than REPRESENTATIVES + 1 copies of one text only
+    the first ones meet every record of the class, the others meet the first
+    ones of each text.  Classes above BLOCK records are cut into tiles.
     """
-    salted = members.withColumn("salt", F.when(F.col("n_records") > HOT_GROUP, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
-    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
-    first = salted.withColumn("r", rank(*group, "salt")).where(F.col("r") <= REPRESENTATIVES + 1)
-    first = first.withColumn("r", rank(*group)).where(F.col("r") <= REPRESENTATIVES + 1).drop("r", "salt")
-    first = first.withColumn("salt", F.explode(F.when(F.col("n_records") > HOT_GROUP, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    keys = [*group, "salt"]
-    a, b = first.alias("a"), salted.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.id") < F.col("b.id")]
+    sizes = marked.groupBy(*group).agg(F.ceil(F.count_if("first") / BLOCK).cast("int").alias("p"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("q")).where("q > 1")
+    rows = marked.join(sizes, group, "left").withColumns({"p": F.coalesce("p", F.lit(1)), "q": F.coalesce("q", F.lit(1))})
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = rows.where("first").withColumn("i", own("p")).withColumn("j", every("q")).alias("a")
+    b = rows.withColumn("j", own("q")).withColumn("i", every("p")).alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*group, "i", "j"]]
+    # Two first ones meet twice.
+    on.append((F.col("a.id") < F.col("b.id")) | (~F.col("b.first") & (F.col("a.id") > F.col("b.id"))))
     pairs = a.join(b, on + ([different] if different is not None else []))
-    return pairs.select(*[F.col(f"a.{g}").alias(g) for g in group], F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    return pairs.select(*[F.col(f"a.{g}").alias(g) for g in group], F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"))
 
 
 def lookalike_pairs(df: DataFrame, by: list[str], id_col: str, text: str) -> DataFrame:
     """(by..., id_a, id_b): records whose texts look the same but differ in code points."""
-    members = same_form_classes(df, by, id_col, text).where("n_texts > 1")
-    return class_pairs(members, [*by, "form_key"], F.col("a.raw") != F.col("b.raw")).select(*by, "id_a", "id_b")
+    group = [*by, "form_key"]
+    members = cut_lineage(same_form_classes(df, by, id_col, text).where("n_texts > 1").select(*group, "id", "raw"))
+    return class_pairs(cut_lineage(first_copies(members, group)), group, F.col("a.raw") != F.col("b.raw")).select(*by, "id_a", "id_b")

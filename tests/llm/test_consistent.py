@@ -60,3 +60,16 @@ def test_a_hot_class_is_listed_by_its_first_records(spark, monkeypatch):
     assert {(r.id_a, r.id_b) for r in got} >= {(0, i) for i in range(1, 60)}
     classes = C.same_form_classes(df, ["tbl"], "id", "text").collect()
     assert len(classes) == 60 and {(r.n_records, r.n_texts) for r in classes} == {(60, 2)}
+
+
+def test_a_hot_text_hides_no_pair_of_other_texts(spark, monkeypatch):
+    monkeypatch.setattr(C, "REPRESENTATIVES", 3)
+    monkeypatch.setattr(C, "HOT_GROUP", 20)
+    if hasattr(C, "BLOCK"):
+        monkeypatch.setattr(C, "BLOCK", 7)
+    texts = {**{i: "abc" for i in range(1, 41)}, 50: "аbc", 51: "ａbc", **{i: "abс" for i in range(60, 72)}}
+    df = spark.createDataFrame([("t", i, t) for i, t in texts.items()], "tbl string, id long, text string")
+    got = [(r.id_a, r.id_b) for r in C.lookalike_pairs(df, ["tbl"], "id", "text").collect()]
+    place = {i: sum(texts[j] == t for j in texts if j < i) for i, t in texts.items()}
+    want = {(a, b) for a, b in itertools.combinations(texts, 2) if texts[a] != texts[b] and min(place[a], place[b]) <= 3}
+    assert len(got) == len(set(got)) and set(got) == want
