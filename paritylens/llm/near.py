@@ -33,9 +33,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from paritylens.llm.consistent import REPRESENTATIVES, SALTS, class_pairs, consistent_form
+from paritylens.llm.consistent import class_pairs, consistent_form, first_copies, text_key
 from paritylens.llm.words import WORD
 from paritylens.session import cut_lineage, spread
 
@@ -45,6 +44,8 @@ SIGNATURE = 4
 COUNTERS = 1 << 21
 #: Records of one token that are compared in one tile.
 BLOCK = 20_000
+#: Records of one class that are expanded in one piece where it is linked.
+PIECE = 2_000
 #: Rows that a task compares at once, unless one tile has more.
 CHUNK = 200_000
 
@@ -59,7 +60,7 @@ def _signature(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, form) -> (id, class_key, n, tokens)."""
+    """(id, raw, form) -> (id, raw, class_key, n, tokens)."""
     import regex
     import xxhash
 
@@ -81,16 +82,16 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
         offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))],
-            names=["id", "class_key", "n", "tokens"],
+            [batch.column("id"), batch.column("raw"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))],
+            names=["id", "raw", "class_key", "n", "tokens"],
         )
 
 
 def token_records(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, class_key, n, tokens) of every record with an id and a text."""
+    """(id, raw, class_key, n, tokens) of every record with an id and a text; ``raw`` is the key of the text as it is."""
     rows = df.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    forms = consistent_form(spread(rows), "text").select("id", "form")
-    return forms.mapInArrow(_tokenise, "id long, class_key binary, n int, tokens array<long>")
+    forms = consistent_form(spread(rows).withColumn("raw", text_key(F.col("text"))), "text").select("id", "raw", "form")
+    return forms.mapInArrow(_tokenise, "id long, raw binary, class_key binary, n int, tokens array<long>")
 
 
 def _counters(classes: DataFrame) -> np.ndarray:
@@ -206,7 +207,7 @@ def _tiles(index: DataFrame) -> DataFrame:
 def near_classes(df: DataFrame, id_col: str, text: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the records that have an id and a text.
 
-    members: (id, class_key, rep, n_records): records with the same words as
+    members: (id, raw, class_key, rep, n_records): records with the same words as
     often share a class; ``rep`` is its smallest id.
     links: (rep_a, rep_b, similarity) between classes whose similarity is at
     least ``threshold``, rep_a < rep_b.  Null texts have no row; texts without
@@ -217,7 +218,7 @@ def near_classes(df: DataFrame, id_col: str, text: str, threshold: float = 0.8)
     spark = df.sparkSession
     records = cut_lineage(token_records(df, id_col, text))
     classes = records.groupBy("class_key").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("n_records"))
-    members = records.select("id", "class_key").distinct().join(classes, "class_key")
+    members = records.groupBy("id", "class_key").agg(F.min("raw").alias("raw")).join(classes, "class_key")
     # One row per class: the record whose id is the smallest.
     reps = records.join(classes.select("class_key", F.col("rep").alias("id")), ["class_key", "id"], "left_semi").where("n > 0").select("id", "n", "tokens").dropDuplicates(["id"])
     reps = cut_lineage(reps)
@@ -237,25 +238,28 @@ def near_classes(df: DataFrame, id_col: str, text: str, threshold: float = 0.8)
 def near_pairs(df: DataFrame, id_col: str, text: str, threshold: float = 0.8) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of records with similarity of at least ``threshold``.
 
-    Classes of the same words are listed as in ``class_pairs``: pair by pair
-    up to REPRESENTATIVES records, larger ones by their representatives; so
-    are the records of linked classes.
+    All pairs of different texts are listed, within a class of the same words
+    and between linked classes.  Only of more than REPRESENTATIVES + 1
+    byte-identical texts the first ones stand for the others, as in
+    ``class_pairs``.
     """
     members, links = near_classes(df, id_col, text, threshold)
-    members = cut_lineage(members)
+    members = cut_lineage(first_copies(cut_lineage(members), ["class_key"]))
     same = class_pairs(members.where("n_records > 1"), ["class_key"]).select("id_a", "id_b")
-    links = cut_lineage(links.select("rep_a", "rep_b"))
-    linked = links.select(F.col("rep_a").alias("rep")).unionByName(links.select(F.col("rep_b").alias("rep"))).distinct()
-    own = members.join(linked, "rep", "left_semi")
-    # Of each class, the first ids; the class itself is known from its representative.
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    first = salted.withColumn("r", F.row_number().over(Window.partitionBy("rep", "salt").orderBy("id"))).where(F.col("r") <= REPRESENTATIVES)
-    first = first.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= REPRESENTATIVES).select("rep", "id")
-
-    def expand(x: str, y: str) -> DataFrame:
-        every = own.select(F.col("rep").alias(x), F.col("id").alias("p"))
-        some = first.select(F.col("rep").alias(y), F.col("id").alias("q"))
-        return links.join(every, x).join(some, y).select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
-
-    across = expand("rep_a", "rep_b").unionByName(expand("rep_b", "rep_a")).distinct()
+    # Large classes go in pieces, every piece of one with every piece of the other.
+    pieces = F.ceil(F.col("n_records") / PIECE).cast("int")
+    own = members.select("rep", "id", "first", F.pmod(F.xxhash64("id"), pieces).cast("int").alias("piece"))
+    large = members.where(F.col("n_records") > PIECE).select("rep", pieces.alias("pieces")).distinct()
+    for x in ("a", "b"):
+        count = large.select(F.col("rep").alias(f"rep_{x}"), "pieces")
+        links = links.join(count, f"rep_{x}", "left").withColumn(f"piece_{x}", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
+    links = cut_lineage(links.select("rep_a", "rep_b", "piece_a", "piece_b"))
+
+    def expand(left: str, right: str) -> DataFrame:
+        p = own.where(left).select(F.col("rep").alias("rep_a"), F.col("piece").alias("piece_a"), F.col("id").alias("p"))
+        q = own.where(right).select(F.col("rep").alias("rep_b"), F.col("piece").alias("piece_b"), F.col("id").alias("q"))
+        found = links.join(p, ["rep_a", "piece_a"]).join(q, ["rep_b", "piece_b"]).where("p <> q")
+        return found.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
+
+    across = expand("true", "first").unionByName(expand("first", "not first")).distinct()
     return same.unionByName(across)

@@ -68,3 +68,18 @@ def test_repeated_rows_long_texts_and_no_rows(spark):
     df = spark.createDataFrame([(1, long), (1, long), (2, long + " more"), (3, "short")], "id long, text string")
     assert {tuple(r) for r in N.near_pairs(df, "id", "text", 0.8).collect()} == {(1, 2)}
     assert N.near_pairs(df.limit(0), "id", "text", 0.8).count() == 0
+
+
+def test_different_texts_of_large_classes_are_all_paired(spark, monkeypatch):
+    if hasattr(N, "PIECE"):
+        monkeypatch.setattr(N, "PIECE", 30)
+    g = random.Random(2)
+    words = [f"w{i}" for i in range(20)]
+    rows = []
+    for i in range(150):
+        g.shuffle(words)
+        rows.append((i, " ".join(words + ["end" if i % 2 else "stop"])))
+    # Copies of one text are only met by the first of them.
+    rows += [(1000 + i, "one two three four five") for i in range(70)] + [(2000 + i, f"five four {x}") for i, x in enumerate(["three two one", "two three one"])]
+    got = [tuple(r) for r in N.near_pairs(spark.createDataFrame(rows, "id long, text string"), "id", "text", 0.7).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in brute(rows) if not 1065 <= a < 2000 or b >= 2000}
