@@ -23,6 +23,8 @@ from paritylens.session import cut_lineage, spread
 
 #: Words up to which the shape of an open last line is compared with others.
 SHAPE_WORDS = 8
+#: Records that end in a shape before it is a usual ending; a line cut inside a word has a shape of its own.
+LEAST_ENDS = 3
 #: A size is a limit of its source if this many records, and this share of the source's, have exactly that size, most of them open, and none is larger.
 LIMIT_RECORDS, LIMIT_SHARE = 5, 0.02
 #: Least shares among complete list items for a form of value, two and three last letters.
@@ -200,7 +202,8 @@ def endings(df: DataFrame, id_col: str, text: str, source: str | Column, done: s
         .when(F.col("ending").isNotNull() & (((share2 < ENDING_SHARE) & (share3 < RARE_ENDING_SHARE)) | (reported & (share3 < RARE_ENDING_SHARE))), "word of an item incomplete")
         .otherwise("")
     )
-    usual = F.coalesce(F.col("ends"), F.lit(0)) > F.coalesce(F.col("goes_on"), F.lit(0))
+    ended = F.coalesce(F.col("ends"), F.lit(0))
+    usual = (ended >= LEAST_ENDS) & (ended > F.coalesce(F.col("goes_on"), F.lit(0)))
     verdict = F.when(F.col("value").isNotNull(), item).when(F.col("shape").isNotNull() & usual, "").otherwise("sentence open")
     rest = rest.select("id", "source", "reason", verdict.alias("why"))
     return settled.unionByName(rest).select("id", "source", (F.col("why") != "").alias("cut"), F.nullif("why", F.lit("")).alias("why"))

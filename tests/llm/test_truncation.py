@@ -54,3 +54,9 @@ def test_cut_and_whole(spark):
 def test_repeated_rows_and_long_text(spark):
     df = spark.createDataFrame([(1, "word " * 100_000), (1, "word " * 100_000)], "id long, text string").selectExpr("*", "'s' AS src")
     assert [(r.id, r.cut) for r in endings(df, "id", "text", "src").collect()] == [(1, True)] * 2
+
+
+def test_a_shape_of_its_own_is_no_usual_ending(spark):
+    every = [(i, *r) for i, r in enumerate(rows())] + [(1000, "The clerk closed the case.\nour board shows a st", "a", True, "length"), (1001, "Record 77 is held", "a", True, "length")]
+    df = spark.createDataFrame(every, "id long, text string, src string, done boolean, reason string")
+    assert [r.id for r in endings(df, "id", "text", "src", "done", "reason").where("cut").collect()] == [1000]
