@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: pairing -> (left, repeat of left, right), for the roster of two systems run twice.
 DESIGN_R = {
@@ -23,10 +24,17 @@ DRIFT = {
 }
 
 
-def phases(samples: DataFrame, first: str, second: str) -> DataFrame:
-    """Samples of two recordings as one, arms marked by phase."""
-    phase = F.when(F.col("recording_id") == first, "p1.").when(F.col("recording_id") == second, "p2.")
-    return samples.where(F.col("recording_id").isin(first, second)).withColumn("arm", F.concat(phase, "arm")).withColumn("recording_id", F.lit(f"{first}/{second}"))
+def phases(samples: DataFrame, recordings: DataFrame) -> DataFrame:
+    """Samples of every recording and its successor as one, arms marked by phase.
+
+    ``recordings``: recording_id, repeats allowed.  The window has one row per
+    recording.  A recording takes part twice, but for the first and the last one.
+    """
+    ids = recordings.select("recording_id").where("recording_id is not null").distinct()
+    pairs = ids.withColumn("next", F.lead("recording_id").over(Window.orderBy("recording_id"))).where("next is not null")
+    both = F.concat_ws("/", "recording_id", "next").alias("both")
+    roles = pairs.select(F.col("recording_id"), both, F.lit("p1.").alias("phase")).unionByName(pairs.select(F.col("next").alias("recording_id"), both, F.lit("p2.").alias("phase")))
+    return samples.join(roles, "recording_id").withColumn("arm", F.concat("phase", "arm")).drop("recording_id", "phase").withColumnRenamed("both", "recording_id")
 
 
 def pairing_map(spark: SparkSession, pairings: dict[str, tuple[str, str, str]]) -> DataFrame:

@@ -344,9 +344,8 @@ def u7_positional_scores(spark, d):
 
 @query()
 def q10_drift_control(spark, d):
-    """The first recording of the log against the second: what changed between them and within the later one."""
-    first, second = [r[0] for r in samples(spark, d).select("recording_id").distinct().orderBy("recording_id").limit(2).collect()]
-    both = pairings.relabel(pairings.phases(_moded(spark, d), first, second), pairings.DRIFT)
+    """Every recording of the log against the next one: what changed between them and within the later one."""
+    both = pairings.relabel(pairings.phases(_moded(spark, d), samples(spark, d)), pairings.DRIFT)
     by = ["recording_id", "pairing"]
     flagged, _, _ = plan.judged(plan.scores(both, by), by, 0.10)
     return flagged.groupBy(*by).agg(F.countDistinct("input_id").alias("n_inputs"), F.countDistinct(F.when(F.col("flagged"), F.col("input_id"))).alias("n_flagged"))

@@ -93,3 +93,18 @@ def test_partitions_do_not_matter(spark):
     r = recording(spark, 15, n=40)
     rows = [sorted(map(tuple, detect.scores(detect.with_modes(r.repartition(p)), ["recording_id"]).collect())) for p in (1, 7)]
     assert rows[0] == rows[1]
+
+
+def test_drift_control_compares_every_recording_with_the_next(spark, data, tmp_path):
+    from paritylens.plans import catalogue
+
+    log = spark.read.parquet(f"{data}/samples.parquet")
+    one = log.where(F.col("recording_id") == log.agg(F.min("recording_id")).first()[0])
+    for name, ids in (("three", "abc"), ("one", "a"), ("none", "")):
+        rows = one.limit(0)
+        for i in ids:
+            rows = rows.unionByName(one.withColumn("recording_id", F.lit(i)))
+        rows.write.parquet(f"{tmp_path}/{name}/samples.parquet")
+    run = lambda name: {(r.recording_id, r.pairing) for r in catalogue.queries()["q10_drift_control"](spark, f"{tmp_path}/{name}").collect()}
+    assert run("three") == {(p, k) for p in ("a/b", "b/c") for k in ("cross_p1null", "cross_p2null", "within_p2")}
+    assert run("one") == run("none") == set()
