@@ -1,9 +1,9 @@
 """Problem 8: unfilled templates, filler, error pages and demands for scripts.
 
 Documents are cut into lines and sentences.  Numbers, codes, addresses, dates
-and names are masked.  Every distinct masked message is classified once by
-phrase rules; messages of one shape are grouped over all documents and sources
-to see how widely they recur and what they stand beside.
+and names are masked.  Every distinct masked message that has a word of some
+phrase rule is classified once; messages of one shape are grouped over all
+documents and sources to see how widely they recur and what they stand beside.
 """
 
 from __future__ import annotations
@@ -11,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritylens.llm.consistent import text_key
+from paritylens.llm.words import WORD
 from paritylens.session import cut_lineage, spread
 
 #: Documents and sources over which a message recurs widely.
 WIDE_DOCS, WIDE_SOURCES = 5, 2
 #: A wide message is page furniture if this share of its documents has a notice or filler.
 FURNITURE_SHARE = 0.8
-#: Words that a title, and that a notice, has at most once page furniture is taken off.
-TITLE_WORDS, NOTICE_WORDS = 4, 20
+#: Words that a title has at most once page furniture is taken off.
+TITLE_WORDS = 4
 
 # Words of the usual Latin filler text.
 FILLER_WORDS = (
@@ -27,30 +27,31 @@ FILLER_WORDS = (
     "excepteur exercitation fugiat id in incididunt ipsum irure labore laboris laborum lorem magna minim mollit nisi non nostrud nulla occaecat officia pariatur proident "
     "qui quis reprehenderit sed sint sit sunt tempor ullamco ut velit veniam voluptate"
 ).split()
-# Phrases of filler, of errors, of demands for scripts, of page
-# furniture, and of sentences that speak about placeholders.
+# Phrases of filler, of demands for scripts, of errors and of page
+# furniture, each with the first four letters of the words of which every
+# match has at least one; then phrases of sentences that speak about placeholders.
 FILLER = [
-    r"\btext goes here\b", r"\b(your|sample|dummy|placeholder|filler) (content|text)\b.{0,30}(here|replace|before use)?", r"\bcontent (goes )?here\b", r"\bblindtext\b",
-    r"\bcontenu (à venir|ici|factice)\b", r"\b(texto|contenido) (de ejemplo|de relleno|aquí|próximamente)\b", r"\b(testo|contenuto) (segnaposto|di esempio|in arrivo|qui)\b",
-    r"\bbeispieltext\b", r"\bhier (steht|kommt|folgt) (der |ihr )?(text|inhalt)\b", r"\b((asdf|qwer|zxcv|hjkl|jkl|yuio|foo|bar|baz)\W+){3,}", r"\blorem ipsum\b",
+    ("text", r"\btext goes here\b"), ("content text", r"\b(your|sample|dummy|placeholder|filler) (content|text)\b.{0,30}(here|replace|before use)?"), ("content", r"\bcontent (goes )?here\b"), ("blindtext", r"\bblindtext\b"),
+    ("contenu", r"\bcontenu (à venir|ici|factice)\b"), ("texto contenido", r"\b(texto|contenido) (de ejemplo|de relleno|aquí|próximamente)\b"), ("testo contenuto", r"\b(testo|contenuto) (segnaposto|di esempio|in arrivo|qui)\b"),
+    ("beispieltext", r"\bbeispieltext\b"), ("hier", r"\bhier (steht|kommt|folgt) (der |ihr )?(text|inhalt)\b"), ("asdf qwer zxcv hjkl jkl yuio foo bar baz", r"\b((asdf|qwer|zxcv|hjkl|jkl|yuio|foo|bar|baz)\W+){3,}"), ("lorem", r"\blorem ipsum\b"),
 ]
 SCRIPTS = [
-    r"\b(enable|activate|turn on|allow|requires?|need)\b.{0,30}\b(java ?script|scripts|scripting)\b", r"\b(java ?script|scripts|scripting)\b.{0,40}\b(is|are|must be|has to be)\b.{0,20}\b(required|needed|disabled|enabled|turned off|on)\b",
-    r"\bturn(ed)? (on|off) scripts?\b", r"\bscripting (turned off|disabled|enabled)\b", r"\bwithout (java ?script|scripts|scripting)\b", r"\b(aktivieren|einschalten)\b.{0,20}\b(java ?script|skripte?)\b", r"\b(java ?script|skripte?)\b.{0,30}\b(aktivieren|einschalten|erforderlich)\b",
-    r"\b(activer|active[rz]?|activar|habilit\w+|attivar[ei]?|attiva|abilit\w+)\b.{0,20}\bjava ?script\b", r"\bjava ?script\b.{0,30}\b(requis|nécessaire|necesario|richiesto|necessario|desactivado|disattivato|désactivé)\b",
-    r"\bscripts and cookies must be on\b", r"\bchecking your browser\b",
+    ("javascript scripts", r"\b(enable|activate|turn on|allow|requires?|need)\b.{0,30}\b(java ?script|scripts|scripting)\b"), ("javascript scripts", r"\b(java ?script|scripts|scripting)\b.{0,40}\b(is|are|must be|has to be)\b.{0,20}\b(required|needed|disabled|enabled|turned off|on)\b"),
+    ("scripts", r"\bturn(ed)? (on|off) scripts?\b"), ("scripting", r"\bscripting (turned off|disabled|enabled)\b"), ("javascript scripts", r"\bwithout (java ?script|scripts|scripting)\b"), ("javascript skripte", r"\b(aktivieren|einschalten)\b.{0,20}\b(java ?script|skripte?)\b"), ("javascript skripte", r"\b(java ?script|skripte?)\b.{0,30}\b(aktivieren|einschalten|erforderlich)\b"),
+    ("javascript", r"\b(activer|active[rz]?|activar|habilit\w+|attivar[ei]?|attiva|abilit\w+)\b.{0,20}\bjava ?script\b"), ("javascript", r"\bjava ?script\b.{0,30}\b(requis|nécessaire|necesario|richiesto|necessario|desactivado|disattivato|désactivé)\b"),
+    ("scripts", r"\bscripts and cookies must be on\b"), ("browser", r"\bchecking your browser\b"),
 ]
 ERRORS = [
-    r"\b(404|403|401|410|429|500|502|503|504)\b.{0,4}(not found|forbidden|unauthori[sz]ed|gone|bad gateway|service unavailable|gateway time-?out|internal server error|too many requests|access denied)",
-    r"^(http |[\p{L}]+ portal )?(error|fehler|erreur|errore)\W*(code )?[45]\d\d\b", r"\berr_[a-z_]+\b", r"\binternal server error\b", r"\bservice (temporarily )?unavailable\b", r"^([\p{L}-]+ ){0,3}(\d{3}\W*)?(bad gateway|not found|forbidden|access denied|too many requests)\W*$",
-    r"\b(requested )?page (could not be|was not|cannot be) (found|located)\b", r"\bcould not be located on this server\b", r"\bpage is no longer available\b", r"\bsite took too long\b", r"\bserver is down\b", r"\bdown for maintenance\b",
-    r"\btry again later\b", r"\bcontact the site owner\b", r"\bdo not have permission to (view|access)\b", r"\bsession has expired\b", r"\bplease sign in again\b", r"\bgateway timeout: upstream\b", r"\bupstream did not answer\b", r"\binvalid response\b.{0,30}\bupstream\b",
-    r"\btraceback \(most recent call last\)", r"\b(render|request|query) failed\b.{0,40}\b(missing|context|error)\b", r"\btemplate context missing\b", r"\bslow down and retry\b", r"\bseite (wurde )?nicht gefunden\b", r"\bangeforderte (adresse|seite)\b", r"\bmelden sie sich erneut an\b", r"\bsitzung ist abgelaufen\b",
-    r"\bpage introuvable\b", r"\berreur (\d{3})?\W*retour\b", r"\bsession a expiré\b", r"\bpágina no encontrada\b", r"\berror interno del servidor\b", r"\bvuelva a intentarlo más tarde\b", r"\bsesión ha caducado\b", r"\bpagina non trovata\b", r"\berrore interno\b", r"\briprova più tardi\b", r"^(errore|error|fehler|erreur) \d{3}\W*$", r"^gateway timeout\W*$",
+    ("404 403 401 410 429 500 502 503 504", r"\b(404|403|401|410|429|500|502|503|504)\b.{0,4}(not found|forbidden|unauthori[sz]ed|gone|bad gateway|service unavailable|gateway time-?out|internal server error|too many requests|access denied)"),
+    ("error fehler erreur", r"^(http |[\p{L}]+ portal )?(error|fehler|erreur|errore)\W*(code )?[45]\d\d\b"), ("err", r"\berr_[a-z_]+\b"), ("error", r"\binternal server error\b"), ("unavailable", r"\bservice (temporarily )?unavailable\b"), ("gateway found forbidden denied many", r"^([\p{L}-]+ ){0,3}(\d{3}\W*)?(bad gateway|not found|forbidden|access denied|too many requests)\W*$"),
+    ("page", r"\b(requested )?page (could not be|was not|cannot be) (found|located)\b"), ("located", r"\bcould not be located on this server\b"), ("page", r"\bpage is no longer available\b"), ("site", r"\bsite took too long\b"), ("server", r"\bserver is down\b"), ("maintenance", r"\bdown for maintenance\b"),
+    ("again", r"\btry again later\b"), ("site", r"\bcontact the site owner\b"), ("permission", r"\bdo not have permission to (view|access)\b"), ("session", r"\bsession has expired\b"), ("sign", r"\bplease sign in again\b"), ("gateway", r"\bgateway timeout: upstream\b"), ("upstream", r"\bupstream did not answer\b"), ("upstream", r"\binvalid response\b.{0,30}\bupstream\b"),
+    ("traceback", r"\btraceback \(most recent call last\)"), ("failed", r"\b(render|request|query) failed\b.{0,40}\b(missing|context|error)\b"), ("template", r"\btemplate context missing\b"), ("slow", r"\bslow down and retry\b"), ("gefunden", r"\bseite (wurde )?nicht gefunden\b"), ("angeforderte", r"\bangeforderte (adresse|seite)\b"), ("melden", r"\bmelden sie sich erneut an\b"), ("sitzung", r"\bsitzung ist abgelaufen\b"),
+    ("introuvable", r"\bpage introuvable\b"), ("erreur", r"\berreur (\d{3})?\W*retour\b"), ("session", r"\bsession a expiré\b"), ("encontrada", r"\bpágina no encontrada\b"), ("error", r"\berror interno del servidor\b"), ("vuelva", r"\bvuelva a intentarlo más tarde\b"), ("sesión", r"\bsesión ha caducado\b"), ("trovata", r"\bpagina non trovata\b"), ("errore", r"\berrore interno\b"), ("riprova", r"\briprova più tardi\b"), ("error fehler erreur", r"^(errore|error|fehler|erreur) \d{3}\W*$"), ("timeout", r"^gateway timeout\W*$"),
 ]
 FURNITURE = [
-    r"\b(menu|reload|loading|search|log ?in|sign (in|up)|cookie settings|privacy policy|skip to (main )?content|back to (start|home|top))\b", r"\bhome( > [\p{L}]+)+", r"\b(request|trace|incident|ray|reference|error) (id )?#", r"\bat [\p{L}]+ node\b",
-    r"\bnginx[\p{L}-]*( gateway)?( [\p{L}]+)?", r"\bcontact the [\p{L}]+ help ?desk\b", r"(©|\bcopyright\b).{0,60}$",
+    ("menu reload loading search log login sign cookie privacy skip back", r"\b(menu|reload|loading|search|log ?in|sign (in|up)|cookie settings|privacy policy|skip to (main )?content|back to (start|home|top))\b"), ("home", r"\bhome( > [\p{L}]+)+"), ("request trace incident ray reference error", r"\b(request|trace|incident|ray|reference|error) (id )?#"), ("node", r"\bat [\p{L}]+ node\b"),
+    ("nginx", r"\bnginx[\p{L}-]*( gateway)?( [\p{L}]+)?"), ("help", r"\bcontact the [\p{L}]+ help ?desk\b"), ("copyright", r"(©|\bcopyright\b).{0,60}$"),
 ]
 MENTION = [
     r"\bplace ?holders?\b", r"\bplatzhalter\w*\b", r"\bmarcador(es)? de posición\b", r"\bsegnaposto\b", r"\bespaces? réservés?\b", r"\btemplates?\b", r"\bvorlagen?\b", r"\bplantillas?\b", r"\bmodèles? de\b", r"\bstyle ?guide\b", r"\bmail merge\b", r"\bserienbrief\w*\b",
@@ -74,8 +75,13 @@ KEPT = rf"(?i)\b(system|program|software|tool|script|form|editor|converter|impor
 _MARKED = r"[{}\[\]<>%@_]|XXX"
 
 
-def _any(patterns: list[str]) -> str:
-    return "(" + "|".join(patterns) + ")"
+def _any(rules: list) -> str:
+    return "(" + "|".join(r if isinstance(r, str) else r[1] for r in rules) + ")"
+
+
+def _stems(*rules: list[tuple[str, str]]) -> list[str]:
+    """First four letters of the words without which none of the rules matches."""
+    return sorted({w[:4] for some in rules for words, _ in some for w in words.split()})
 
 
 def _field(mark: Column) -> Column:
@@ -101,12 +107,6 @@ def shape(message: Column) -> Column:
     return F.lower(F.regexp_replace(x, r"(?<![\p{L}\p{Nd}])\p{Lu}\p{Ll}{2,}(?!\p{L})", "n"))
 
 
-def _filler_share(message: Column) -> Column:
-    w = F.regexp_extract_all(F.lower(message), F.lit(r"(\p{L}+)"), F.lit(1))
-    known = F.array(*(F.lit(x) for x in FILLER_WORDS))
-    return F.when(F.size(w) >= 3, F.size(F.filter(w, lambda x: F.array_contains(known, x))) / F.size(w)).otherwise(F.lit(0.0))
-
-
 def residue(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     """(id, why) of the documents to exclude: ``placeholder``, ``filler``, ``error`` or ``script``.
 
@@ -115,53 +115,81 @@ def residue(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     furniture and titles.  Null and empty texts are no cases; rows without an id are left out.  A repeated row
     has one row here.
     """
-    docs = spread(df.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))).withColumn("k", text_key(F.col("text")))
-    parts = docs.select("id", "k", "source", F.explode(messages(F.col("text"))).alias("message"))
+    docs = spread(df.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))).withColumn("k", F.xxhash64("text"))
+    parts = cut_lineage(_message_rows(docs))
+    holds = _with_placeholders(parts)
+    # Each phrase rule runs once for each distinct form that has one of its words.
+    forms = parts.where("form is not null").select("f", "form").distinct()
+    left = F.size(F.regexp_extract_all(F.regexp_replace("form", _any(FURNITURE), " "), F.lit(f"({WORD})"), F.lit(1)))
+    forms = cut_lineage(forms.select("f", left.alias("left"), _kind(F.col("form")).alias("kind")))
+    kinds = forms.where("kind is not null").select("f", "kind")
+    slim = parts.select("id", "k", "source", "h", "f", "n", "filler", F.col("form").isNotNull().alias("asked"))
+    # Only documents with a notice or filler can consist of one.
+    noticed = slim.where("asked").join(kinds, "f", "left_semi").select("id", "k").unionByName(slim.where("filler").select("id", "k")).distinct()
+    whole = slim.join(noticed, ["id", "k"], "left_semi").join(forms, "f", "left")
+    kind = F.when(F.col("filler"), "filler").otherwise(F.col("kind"))
+    whole = cut_lineage(whole.select("id", "k", "h", F.coalesce("left", "n").alias("n_words"), kind.alias("kind")))
+    furniture = _furniture(slim, kinds, whole)
+    unknown = F.col("kind").isNull() & (F.col("n_words") > TITLE_WORDS)
+    judged = whole.join(furniture, "h", "left").groupBy("id", "k").agg(F.max(unknown & F.col("beside").isNull()).alias("other"), F.max(F.when(F.col("kind").isNotNull(), F.struct("n_words", "kind"))).alias("most"))
+    consists = judged.where("not other").select("id", F.col("most.kind").alias("why"))
+    return holds.select("id", F.lit("placeholder").alias("why")).unionByName(consists).groupBy("id").agg(F.min("why").alias("why"))
+
+
+def _message_rows(docs: DataFrame) -> DataFrame:
+    """(id, k, source, h, f, n, filler, form, strong, weak, mention), one row for each message.
+
+    ``h`` stands for its shape, ``f`` for its masked form, which is kept only
+    where it has a word of some phrase rule; ``n`` counts its words.
+    """
     marks = F.array_distinct(F.regexp_extract_all("message", F.lit(f"({STRONG})"), F.lit(1)))
     weak = F.filter(F.array_distinct(F.regexp_extract_all("message", F.lit(f"({WEAK})"), F.lit(1))), lambda x: ~(F.substring(x, 1, 1).eqNullSafe("<") & _field(x).isin(HTML_TAGS)))
-    has_mark = F.col("message").rlike(_MARKED)
-    about_marks = F.coalesce(F.when(has_mark, F.lower("message").rlike(_any(MENTION)) | F.col("message").rlike(KEPT)), F.lit(False))
-    parts = parts.select("id", "k", "source", F.xxhash64(shape(F.trim("message"))).alias("h"), masked(F.trim("message")).alias("form"), F.when(has_mark, marks).alias("strong"), F.when(has_mark, weak).alias("weak"), about_marks.alias("mention"))
-    parts = cut_lineage(parts)
+    about = F.lower("message").rlike(_any(MENTION)) | F.col("message").rlike(KEPT)
+    stems = _stems(FILLER, SCRIPTS, ERRORS, FURNITURE)
+    # Each select uses the columns of the one before, so none is computed twice.
+    rows = docs.select("id", "k", "source", F.explode(messages(F.col("text"))).alias("message")).withColumn("message", F.trim("message"))
+    rows = rows.withColumns({"marked": F.col("message").rlike(_MARKED), "form": masked(F.col("message")), "shape": shape(F.col("message"))})
+    rows = rows.withColumn("words", F.regexp_extract_all("form", F.lit(f"({WORD})"), F.lit(1)))
+    latin = F.size(F.filter("words", lambda w: w.isin(FILLER_WORDS)))
+    rows = rows.withColumns({"asked": F.exists("words", lambda w: F.substring(w, 1, 4).isin(stems)) | F.col("form").contains("©"), "latin": latin})
+    named = F.size(F.filter("words", lambda w: w.rlike(r"\p{L}")))
+    return rows.select(
+        "id", "k", "source", F.xxhash64("shape").alias("h"), F.xxhash64("form").alias("f"), F.size("words").alias("n"),
+        # At least three words, four fifths of them filler.
+        F.coalesce(F.when(F.col("latin") >= 3, F.col("latin") * 5 >= named * 4), F.lit(False)).alias("filler"),
+        F.when(F.col("asked"), F.col("form")).alias("form"),
+        F.when(F.col("marked"), marks).alias("strong"), F.when(F.col("marked"), weak).alias("weak"), F.coalesce(F.when(F.col("marked"), about), F.lit(False)).alias("mention"),
+    )
+
+
+def _kind(form: Column) -> Column:
+    """What a masked message is by its phrases; null for none of them."""
+    return F.when(form.rlike(_any(FILLER)) & ~form.rlike(_any(MENTION)), "filler").when(form.rlike(_any(SCRIPTS)), "script").when(form.rlike(_any(ERRORS)), "error")
+
+
+def _with_placeholders(parts: DataFrame) -> DataFrame:
+    """(id) of documents with a placeholder in a sentence that does not write about marks.
+
+    Only the sentence itself tells that it writes about marks, however often it recurs.
+    """
+    marked = parts.where("strong is not null").select("id", "strong", "weak", "mention")
     # Names of fields, as the plain marks of the whole corpus give them.
-    fields = parts.where(F.size("strong") > 0).select(F.explode("strong").alias("mark")).select(_field(F.col("mark")).alias("field")).where("length(field) > 1").distinct()
-    named = parts.where(F.size("weak") > 0).select("id", "k", "h", "mention", F.explode("weak").alias("mark")).withColumn("field", _field(F.col("mark")))
+    fields = marked.select(F.explode("strong").alias("mark")).select(_field(F.col("mark")).alias("field")).where("length(field) > 1").distinct()
+    strong = marked.where("size(strong) > 0 and not mention").select("id")
+    weak = marked.where("size(weak) > 0 and not mention").select("id", F.explode("weak").alias("mark")).withColumn("field", _field(F.col("mark")))
     sure = F.regexp_replace("mark", "^__|__$", "").contains("_") | F.col("mark").rlike(r"(?i)^[<\[_]+\s*(insert|enter|your|add|fill|todo)\b")
-    named = named.where(sure).unionByName(named.where(~sure).join(fields, "field", "left_semi").select(*named.columns))
-    strong = parts.where(F.size("strong") > 0).select("id", "k", "h", "mention", F.explode("strong").alias("mark"))
-    hits = strong.unionByName(named.select(*strong.columns))
-    # Only the sentence itself tells that it writes about marks, however often it recurs.
-    holds = hits.where("not mention").select("id").distinct()
-    # One phrase decision for each distinct form; a shape holds forms of different kinds.
-    parts = parts.withColumn("f", F.xxhash64("form"))
-    forms = parts.select("h", "f", "form").distinct()
-    short = lambda x: F.length(x) < 400
-
-    def kind(x: Column) -> Column:
-        return F.when((_filler_share(x) >= 0.8) | short(x) & x.rlike(_any(FILLER)) & ~x.rlike(_any(MENTION)), "filler").when(short(x) & x.rlike(_any(SCRIPTS)), "script").when(short(x) & x.rlike(_any(ERRORS)), "error")
-
-    # Page furniture is taken off wherever it stands in a message.
-    left = F.regexp_replace("form", _any(FURNITURE), " ")
-    n_left = F.size(F.regexp_extract_all(F.when(short(F.col("form")), left).otherwise(F.col("form")), F.lit(r"([\p{L}\p{Nd}]+)"), F.lit(1)))
-    # Written before it is used again, so each rule runs once for each form.
-    forms = cut_lineage(forms.select("h", "f", n_left.alias("n_words"), kind(F.col("form")).alias("kind")))
-    forms = forms.withColumn("kind", F.when((F.col("kind") == "filler") | (F.col("n_words") <= NOTICE_WORDS), F.col("kind")))
-    # Only documents with a notice or filler can consist of one.
-    slim = parts.select("id", "k", "h", "f")
-    noticed = slim.join(forms.where("kind is not null").select("h", "f"), ["h", "f"], "left_semi").select("id", "k").distinct()
-    whole = cut_lineage(slim.join(noticed, ["id", "k"], "left_semi").join(forms, ["h", "f"]))
-    # Wide messages that stand beside notices in most of their documents,
-    # counted over the members of a shape that are no notices themselves.
-    unknown = F.col("kind").isNull() & (F.col("n_words") > TITLE_WORDS)
-    asked = cut_lineage(whole.where(unknown & (F.col("n_words") <= NOTICE_WORDS)).select("h").distinct())
-    plain = forms.where("kind is null").join(asked, "h", "left_semi").select("h", "f")
-    spans = parts.join(plain, ["h", "f"], "left_semi").groupBy("h").agg(F.countDistinct("id", "k").alias("n_docs"), F.countDistinct("source").alias("n_sources"))
-    near = whole.where("kind is null").join(asked, "h", "left_semi").groupBy("h").agg(F.countDistinct("id", "k").alias("n"))
-    wide = (F.col("n_docs") >= WIDE_DOCS) & (F.col("n_sources") >= WIDE_SOURCES)
-    furniture = near.join(spans, "h").where(wide & (F.col("n") >= FURNITURE_SHARE * F.col("n_docs"))).select("h", F.lit(True).alias("beside"))
-    whole = whole.join(furniture, "h", "left").groupBy("id", "k").agg(
-        F.max(unknown & (F.col("beside").isNull() | (F.col("n_words") > NOTICE_WORDS))).alias("other"),
-        F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("n_words"))).alias("why"),
-    )
-    consists = whole.where("not other").select("id", "why")
-    return holds.select("id", F.lit("placeholder").alias("why")).unionByName(consists).groupBy("id").agg(F.min("why").alias("why"))
+    return strong.unionByName(weak.where(sure).select("id")).unionByName(weak.where(~sure).join(fields, "field", "left_semi").select("id")).distinct()
+
+
+def _furniture(slim: DataFrame, kinds: DataFrame, whole: DataFrame) -> DataFrame:
+    """(h, beside) of wide messages that stand beside notices in most of their documents.
+
+    Counted over the members of a shape that are no notices themselves.
+    """
+    asked = whole.where(F.col("kind").isNull() & (F.col("n_words") > TITLE_WORDS)).select("h").distinct()
+    plain = slim.where("not filler").join(asked, "h", "left_semi").join(kinds, "f", "left_anti")
+    # One row for each document first, so that only counts per source meet.
+    per_source = plain.select("h", "source", "id", "k").distinct().groupBy("h", "source").agg(F.count(F.lit(1)).alias("n"))
+    spans = per_source.groupBy("h").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_sources")).where((F.col("n_docs") >= WIDE_DOCS) & (F.col("n_sources") >= WIDE_SOURCES))
+    near = whole.where("kind is null").select("h", "id", "k").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return near.join(spans, "h").where(F.col("n") >= FURNITURE_SHARE * F.col("n_docs")).select("h", F.lit(True).alias("beside"))

@@ -53,3 +53,28 @@ def test_a_template_sent_unfilled_many_times_is_a_case_each_time(spark):
     rows += [(100 + i, REAL + " We keep {{order}} as it is until [client_name] pays.", f"s{i % 3}") for i in range(6)]
     df = spark.createDataFrame(rows, "id long, text string, source string")
     assert {(r.id, r.why) for r in residue(df, "id", "text", "source").collect()} == {(r[0], "placeholder") for r in rows}
+
+
+def test_long_notices_are_notices(spark):
+    wide = lambda n, k: " ".join("abcdefghij"[i % 10] * k for i in range(n))
+    texts = {
+        "Internal Server Error " + wide(15, 30): "error",
+        "Internal Server Error " + wide(15, 10): "error",
+        "Your text goes here " + wide(43, 9): "filler",
+        "Your text goes here " + wide(13, 9): "filler",
+        "We are sorry but you need to enable JavaScript in the settings of the browser that you use on this machine before any of the pages that belong to this site can be shown to you in the way they were made": "script",
+        "You need to enable JavaScript to see the page": "script",
+    }
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "id long, text string, source string")
+    assert {r.id: r.why for r in residue(df, "id", "text", "source").collect()} == dict(enumerate(texts.values()))
+
+
+def test_every_rule_has_its_words(spark):
+    import re
+
+    from paritylens.llm import residue as R
+
+    for words, rule in R.FILLER + R.SCRIPTS + R.ERRORS + R.FURNITURE:
+        # The words of a rule are written in it, so a match has one of them.
+        plain = re.sub(r"\\.|java \?script", lambda m: "javascript" if "java" in m[0] else " ", rule)
+        assert all(w[:4] in plain.replace(" ?", "") for w in words.split()), (words, rule)
