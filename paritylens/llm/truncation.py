@@ -1,23 +1,29 @@
 """Problem 5: texts that stop before their own end.
 
-A stack automaton reads every text whole and notes what it leaves open:
-brackets, quotes and escapes of a JSON value, broken bytes, a missing
-terminator.  Prose and lists need no terminator everywhere, so an open last
-line is judged against baselines counted over all records: how lines of that
+A stack automaton over the brackets and quotes of every text that begins as
+JSON notes what it leaves open; of every text it is noted whether it breaks
+off in an escape or a broken character and whether it has a terminator, an open
+bracket or an open code fence.  Prose and lists need no terminator everywhere,
+so an open last line is judged against baselines counted over all records: how lines of that
 shape usually go on, which values and word endings complete list items have,
 and at which size the records of a source pile up.
+
+All of it is made of builtin expressions.  Python only folds the few texts
+that hold characters other than those of the stable class of problem 2.
 """
 
 from __future__ import annotations
 
-import re
+import functools
+import sys
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
+from paritylens.llm.consistent import is_consistent
 from paritylens.llm.lookalikes import LOOKALIKES
 from paritylens.session import cut_lineage, spread
 
@@ -33,123 +39,129 @@ VALUE_SHARE, ENDING_SHARE, RARE_ENDING_SHARE = 0.005, 0.0003, 0.00005
 # Reasons that report a limit.
 LIMIT_REASONS = ["length", "max_tokens", "max_length", "token_limit"]
 
-_FACTS = StructType([
-    StructField("json_open", BooleanType()),  # null: no JSON value
-    StructField("broken", BooleanType()),
-    StructField("closed", BooleanType()),
-    StructField("signed", BooleanType()),
-    StructField("place", StringType()),
-    StructField("shape", StringType()),  # null: longer than SHAPE_WORDS
-    StructField("starts", ArrayType(StringType())),  # shorter shapes that the last line goes on from
-    StructField("value", StringType()),  # shape of the last value of a list of named values; '' if it lacks one
-    StructField("ending", StringType()),
-    StructField("values", ArrayType(StringType())),  # the same of the lines before
-    StructField("endings", ArrayType(StringType())),
-    StructField("n_chars", IntegerType()),
-    StructField("n_bytes", IntegerType()),
-])
-
-_CLOSED = re.compile(r"[.!?。！？][\"'”’»)\]}*_`]*$")
-_ITEM = re.compile(r"\s*[-*•–+]\s*(.*)$")
-_NAMED = re.compile(r"([^\W\d_]+)\s*:\s*(.*)$")
-_ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$")
-_CODE = re.compile(r"\b[a-z]{1,4}-?\d[\d/-]*\b", re.I)
-
-
-def json_open(text: str) -> bool | None:
-    """Whether a text that begins as a JSON object or array leaves it open; None if it does not begin so."""
-    body = text.strip()
-    if not re.match(r"\{\s*(\"|\}|$)|\[\s*([\[{\"\]\d-]|$)", body):
-        return None
-    stack, quoted, escaped = [], False, False
-    for c in body:
-        if quoted:
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                quoted = False
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            stack.append(c)
-        elif c in "}]":
-            if not stack or (stack.pop() == "{") != (c == "}"):
-                return None  # brackets that never matched: no JSON
-    return bool(stack) or quoted
-
-
-def _fold(text: str) -> str:
-    plain = unicodedata.normalize("NFKC", "".join(c for c in text if unicodedata.category(c) != "Cf"))
-    return "".join(LOOKALIKES.get(c, c) for c in plain)
-
-
-def _words(line: str) -> list[str]:
-    """Words of a line with names, codes and numbers masked."""
-    out = []
-    for w in _CODE.sub("9", line).split():
-        w = w.strip("\"'“”.,;:!?()[]*_`-")
-        if w:
-            out.append("9" if re.fullmatch(r"\d[\d./-]*", w) else "N" if re.fullmatch(r"[^\W\d_a-zß-ÿ][^\W\d_A-ZÀ-Þ]+", w) else w.lower())
-    return out
-
-
-def _value(text: str) -> str:
+_BLANKS = " \t\n\r\x0b\x0c"
+_JSON = r"\A(?:\{\s*(?:[\"}]|\z)|\[\s*(?:[\[{\"\]\d-]|\z))"
+_CLOSED = r"[.!?。！？][\"'”’»)\]}*_`]*\z"
+_ITEM = r"\A\s*[-*•–+]\s*"
+_NAMED = r"\A\p{L}+\s*:\s*"
+_ESCAPE = r"\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?\z"
+_CODE = r"(?<![\p{L}\p{N}_])[A-Za-z]{1,4}-?\p{Nd}[\p{Nd}/-]*(?:(?<=\p{Nd})(?![\p{L}\p{N}_])|(?<=[/-])(?=[\p{L}\p{N}_]))"
+_EDGE = r"\"'“”.,:;!?()\[\]*_`-"
+_VALUE_EDGE = r"\"'“”.,;!?()*_"
+
+
+@functools.cache
+def _without_ink() -> dict[int, None]:
+    return {o: None for o in range(sys.maxunicode + 1) if unicodedata.category(chr(o)) == "Cf"}
+
+
+@F.pandas_udf(StringType())
+def _fold(texts: pd.Series) -> pd.Series:
+    """Compatibility forms and look-alikes as plain letters, characters without ink left out; three C calls a text."""
+    gone, looks = _without_ink(), str.maketrans(LOOKALIKES)
+    return texts.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x.translate(gone)).translate(looks))
+
+
+def json_open(body: Column) -> Column:
+    """Whether a text that begins as a JSON object or array leaves it open; null if it does not begin so.
+
+    Escaped characters and whole strings are taken out, the brackets that
+    remain run through a stack; brackets that never matched are no JSON.
+    """
+    rest = F.regexp_replace(F.regexp_replace(body, r"(?s)\\.", ""), r'"[^"]*"', "")
+    brackets = F.regexp_replace(F.substring_index(rest, '"', 1), r"[^{}\[\]]+", "")
+
+    def step(stack: Column, c: Column) -> Column:
+        top = F.right(stack, F.lit(1))
+        matched = ((c == "}") & (top == "{")) | ((c == "]") & (top == "["))
+        return F.when(c.isin("{", "["), F.concat(stack, c)).when(matched, F.substring(stack, F.lit(1), F.length(stack) - 1)).when(c == "", stack)
+
+    stack = F.aggregate(F.split(brackets, ""), F.lit(""), step)
+    return F.when(body.rlike(_JSON), F.when(stack.isNotNull(), (stack != "") | rest.contains('"')))
+
+
+def _tokens(line: Column, edge: str) -> Column:
+    """Pieces between blanks without the given characters at their edges."""
+    return F.filter(F.transform(F.split(line, r"\s+"), lambda w: F.regexp_replace(w, rf"\A[{edge}]+|[{edge}]+\z", "")), lambda w: w != "")
+
+
+def _mask(word: Column) -> Column:
+    """Numbers as 9, names as N, other words in lower case."""
+    return F.when(word.rlike(r"\A\p{Nd}[\p{Nd}./-]*\z"), "9").when(word.rlike(r"\A[\p{L}&&[^a-zß-ÿ]][\p{L}&&[^A-ZÀ-Þ]]+\z"), "N").otherwise(F.lower(word))
+
+
+def _value(text: Column) -> Column:
     """Shape of a value: numbers as 9, letter codes with their digits counted, names as N."""
-    out = []
-    for w in text.split():
-        w = w.strip("\"'“”.,;!?()*_")
-        if m := re.fullmatch(r"[A-Za-z](\d*)", w):
-            out.append("A" + str(len(m[1])))
-        elif re.fullmatch(r"\d+", w):
-            out.append("9")
-        elif w:
-            out.append("N" if w[0].isalpha() else "?")
-    return " ".join(out)
-
-
-def _ending(text: str) -> str | None:
-    m = re.search(r"([^\W\d_]{2,})\W*$", text)
-    return m[1][-3:].lower() if m else None
-
-
-def facts(text: str) -> tuple:
-    """What the automaton notes of one text; see _FACTS."""
-    size = (len(text), len(text.encode("utf-8", "replace")))
-    fold = _fold(text)
-    body = fold.rstrip()
-    opened = json_open(body)
-    broken = bool(body.endswith(("�", "…")) or _fold(text[-3:]).rstrip("\n ").endswith("�") or text.rstrip().endswith("…") or _ESCAPE.search(body))
-    lines = body.split("\n")
-    last = lines[-1].strip()
-    words = _words(last)
-    marker_only = bool(re.fullmatch(r"(\d+[.)]|[-*•–+]|#+)", last))
-    closed = bool(_CLOSED.search(last)) and not marker_only
-    before = [x for x in lines[:-1] if x.strip()]
-    place = "only" if not before else "paragraph" if len(lines) > 1 and not lines[-2].strip() else "line"
-    signed = place == "paragraph" and 0 < len(words) <= 4 and bool(_CLOSED.search(before[-1].strip()))
-    value = ending = None
-    values, endings = [], []
-    items = [m[1] for x in lines if (m := _ITEM.match(x))]
-    named = [m[2] for x in items if (m := _NAMED.match(x))]
-    tail = _ITEM.match(lines[-1])
-    if tail and before:
-        mine = _NAMED.match(tail[1])
-        others = named[:-1] if mine else named
-        # A list of named values: all items before this one are named.
-        if len(others) == len(items) - 1 and len(items) > 1 or mine and len(items) == 1 and len(mine[2].split()) <= 3:
-            values, endings = [_value(x) for x in others], [e for x in others if (e := _ending(x))]
-            value = _value(mine[2]) if mine else ""
-            ending = _ending(mine[2]) if mine and value.endswith("N") else None
-    shape = " ".join(words) if len(words) <= SHAPE_WORDS else None
-    starts = [" ".join(words[:k]) for k in range(1, min(len(words), SHAPE_WORDS + 1))]
-    return (opened, broken, closed, signed, place, shape, starts, value, ending, values, endings, *size)
-
-
-@F.pandas_udf(_FACTS)
-def _facts(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([facts(x) if x is not None else (None,) * len(_FACTS) for x in texts], columns=_FACTS.names).astype({"n_chars": "Int32", "n_bytes": "Int32"})
+    one = lambda w: (
+        F.when(w.rlike(r"\A[A-Za-z]\p{Nd}*\z"), F.concat(F.lit("A"), (F.length(w) - 1).cast("string"))).when(w.rlike(r"\A\p{Nd}+\z"), "9").when(w.rlike(r"\A\p{L}"), "N").otherwise("?")
+    )
+    return F.array_join(F.transform(_tokens(text, _VALUE_EDGE), one), " ")
+
+
+def _ending(text: Column) -> Column:
+    """The last three letters of the last word; empty if there is none of two letters."""
+    return F.lower(F.right(F.regexp_extract(text, r"(\p{L}{2,})[^\p{L}\p{N}_]*\z", 1), F.lit(3)))
+
+
+def _left_open(line: Column) -> Column:
+    """Whether a line opens a round, square or curly bracket or a quote with a direction and never closes it."""
+    marks = F.regexp_replace(line, r"[^()\[\]{}«»“”]+", "")
+    # Innermost pairs go first; what opens in the rest stays open.
+    for _ in range(3):
+        marks = F.regexp_replace(marks, r"\(\)|\[\]|\{\}|«»|“”", "")
+    return marks.rlike(r"[(\[{«“][^)\]}»”]*\z")
+
+
+def with_facts(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with what the automaton notes of each text, which is dropped.
+
+    json_open (null: no JSON), broken, closed, signed, place, shape (null:
+    longer than SHAPE_WORDS), starts (shorter shapes that the last line goes on
+    from), value (of the last of a list of named values; '' if it lacks one),
+    ending, values and endings (of the lines before), n_chars, n_bytes.
+    """
+    x = F.col(text)
+    stable = is_consistent(x)
+    # Each select uses the columns of the one before, so none is computed twice.
+    rows = rows.withColumn("__fold", F.when(stable, x).otherwise(_fold(F.when(~stable, x))))
+    rows = rows.withColumn("__body", F.rtrim(F.col("__fold"), F.lit(_BLANKS)))
+    rows = rows.withColumn("__lines", F.split("__body", "\n"))
+    rows = rows.withColumns({"__tail": F.element_at("__lines", -1), "__before": F.filter(F.slice("__lines", 1, F.size("__lines") - 1), lambda y: F.trim(y) != "")})
+    rows = rows.withColumn("__last", F.trim(F.col("__tail"), F.lit(_BLANKS)))
+    rows = rows.withColumns({"__words": _tokens(F.regexp_replace("__last", _CODE, "9"), _EDGE), "__items": F.when(F.col("__tail").rlike(_ITEM) & (F.size("__before") > 0), F.filter("__lines", lambda y: y.rlike(_ITEM)))})
+    rows = rows.withColumns({
+        "__n": F.size("__words"),
+        "__masked": F.transform(F.slice("__words", 1, SHAPE_WORDS + 1), _mask),
+        "__items": F.transform("__items", lambda y: F.regexp_replace(y, _ITEM, "")),
+    })
+    value_of = lambda y: F.regexp_replace(y, _NAMED, "")
+    is_named = lambda y: y.rlike(_NAMED)
+    rows = rows.withColumns({"__mine": F.element_at("__items", -1).rlike(_NAMED), "__others": F.filter(F.slice("__items", 1, F.greatest(F.size("__items") - 1, F.lit(0))), is_named)})
+    # A list of named values: all items before this one are named.
+    alone = F.col("__mine") & (F.size("__items") == 1) & (F.size(F.split(F.trim(value_of(F.element_at("__items", -1))), r"\s+")) <= 3)
+    listed = F.coalesce(((F.size("__others") == F.size("__items") - 1) & (F.size("__items") > 1)) | alone, F.lit(False))
+    rows = rows.withColumn("__listed", listed)
+    others = F.transform("__others", value_of)
+    rows = rows.withColumn("value", F.when(F.col("__listed"), F.when(F.col("__mine"), _value(value_of(F.element_at("__items", -1)))).otherwise("")))
+    empty = F.array().cast("array<string>")
+    closed = F.col("__last").rlike(_CLOSED) & ~F.col("__last").rlike(r"\A(?:\p{Nd}+[.)]|[-*•–+]|#+)\z")
+    fence = F.size(F.split("__body", "```")) % 2 == 0
+    place = F.when(F.size("__before") == 0, "only").when(F.trim(F.element_at("__lines", -2), F.lit(_BLANKS)) == "", "paragraph").otherwise("line")
+    rows = rows.withColumns({
+        "json_open": json_open(F.trim(F.col("__body"), F.lit(_BLANKS))),
+        "broken": F.col("__body").rlike("[�…]\\z") | F.col("__body").rlike(_ESCAPE) | F.rtrim(x, F.lit(_BLANKS)).endswith("…"),
+        "closed": closed & ~fence & ~_left_open(F.col("__last")),
+        "place": place,
+        "shape": F.when(F.col("__n") <= SHAPE_WORDS, F.array_join("__masked", " ")),
+        "starts": F.when(F.col("__n") > 1, F.transform(F.sequence(F.lit(1), F.least(F.col("__n") - 1, F.lit(SHAPE_WORDS))), lambda k: F.array_join(F.slice("__masked", 1, k), " "))).otherwise(empty),
+        "ending": F.when(F.col("__listed") & F.col("__mine") & F.col("value").endswith("N"), F.nullif(_ending(value_of(F.element_at("__items", -1))), F.lit(""))),
+        "values": F.when(F.col("__listed"), F.transform(others, _value)).otherwise(empty),
+        "endings": F.when(F.col("__listed"), F.filter(F.transform(others, _ending), lambda y: y != "")).otherwise(empty),
+        "n_chars": F.length(x),
+        "n_bytes": F.octet_length(x),
+    })
+    rows = rows.withColumn("signed", (F.col("place") == "paragraph") & (F.col("__n") > 0) & (F.col("__n") <= 4) & F.coalesce(F.trim(F.element_at("__before", -1), F.lit(_BLANKS)).rlike(_CLOSED), F.lit(False)))
+    return rows.drop(text, *(c for c in rows.columns if c.startswith("__")))
 
 
 def _limits(rows: DataFrame, size: str) -> DataFrame:
@@ -161,6 +173,20 @@ def _limits(rows: DataFrame, size: str) -> DataFrame:
     return top.where(piled).select("source", F.col("limit").alias(f"{size}_limit"))
 
 
+def _inside_words(goes_on: DataFrame, ends: DataFrame) -> DataFrame:
+    """(place, shape, goes_on) of shapes that break off inside the last word of a shape that goes on.
+
+    Only shapes that end often enough to be usual are asked for, so only what
+    shares its words but the last with one of these is taken apart.
+    """
+    stem = F.regexp_extract("shape", r"\A(.* )?", 0)
+    usual = ends.where(F.col("ends") >= LEAST_ENDS).select("place", "shape")
+    rows = goes_on.withColumn("stem", stem).join(usual.select("place", stem.alias("stem")).distinct(), ["place", "stem"], "left_semi")
+    rows = rows.withColumn("word", F.substring("shape", F.length("stem") + 1, F.length("shape"))).where("length(word) > 1")
+    cuts = rows.select("place", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.concat("stem", F.left("word", k)))).alias("shape"), "goes_on")
+    return cuts.groupBy("place", "shape").agg(F.sum("goes_on").alias("goes_on")).join(usual, ["place", "shape"], "left_semi")
+
+
 def endings(df: DataFrame, id_col: str, text: str, source: str | Column, done: str | Column | None = None, reason: str | Column | None = None) -> DataFrame:
     """(id, source, cut, why) of every record with a text.
 
@@ -175,12 +201,12 @@ def endings(df: DataFrame, id_col: str, text: str, source: str | Column, done: s
     rows = df.where(F.col(text).isNotNull() & (F.trim(text) != "")).select(
         F.col(id_col).alias("id"), F.coalesce(col(source), F.lit("")).alias("source"), flag.alias("done"), F.lower(F.trim(why)).alias("reason"), F.col(text).alias("text")
     )
-    rows = spread(rows).withColumn("f", _facts(F.col("text")))
-    rows = cut_lineage(rows.select("id", "source", "done", "reason", "f.*"))
+    rows = cut_lineage(with_facts(spread(rows), "text"))
     # Baselines over all records.
     lines = rows.where("json_open is null")
     ends = lines.where("not closed and shape is not null").groupBy("place", "shape").agg(F.count(F.lit(1)).alias("ends"))
     goes_on = lines.select("place", F.explode("starts").alias("shape")).groupBy("place", "shape").agg(F.count(F.lit(1)).alias("goes_on"))
+    goes_on = goes_on.unionByName(_inside_words(goes_on, ends)).groupBy("place", "shape").agg(F.sum("goes_on").alias("goes_on"))
     every = lines.select(F.explode("values").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     value_share = every.crossJoin(F.broadcast(every.agg(F.sum("n").alias("total")))).select("value", (F.col("n") / F.col("total")).alias("value_share"))
     tails = lines.select(F.explode("endings").alias("ending")).groupBy("ending").agg(F.count(F.lit(1)).alias("n"))

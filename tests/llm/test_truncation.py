@@ -1,19 +1,23 @@
-from paritylens.llm.truncation import endings, facts, json_open, truncation_rates
+from paritylens.llm.truncation import endings, truncation_rates, with_facts
 
 
-def test_stack_of_json():
-    assert json_open('{"a": [1, {"b": "x]"}]}') is False
-    assert json_open('{"a": [1, {"b": "x') is True
-    assert json_open('{"a": "say \\"hi') is True
-    assert json_open("{name} said") is None
-    assert json_open("plain") is None
+def facts(spark, *texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    return [r for _, r in sorted((r.i, r) for r in with_facts(df, "text").collect())]
 
 
-def test_facts_of_the_end():
-    assert facts("It ends here.")[2] and facts('He said "yes."')[2]
-    assert not facts("1. One thing.\n2.")[2]
-    assert facts("It was cut h…")[1] and facts("bytes broken�")[1] and facts('{"a": "\\u00')[1]
-    assert facts("Long text ends.\n\nNorth desk")[3]
+def test_stack_of_json(spark):
+    texts = {'{"a": [1, {"b": "x]"}]}': False, '{"a": [1, {"b": "x': True, '{"a": "say \\"hi': True, "{name} said": None, "plain": None, "[1, 2": True, '["a}", {}]': False, '{"a": 1]': None, '{"a": "' + "x[" * 50_000 + '"}': False}
+    assert [r.json_open for r in facts(spark, *texts)] == list(texts.values())
+
+
+def test_facts_of_the_end(spark):
+    assert all(r.closed for r in facts(spark, "It ends here.", 'He said "yes."', "Ｉt ends．", "See (the note.)", "A list: a) one. b) two."))
+    assert not any(r.closed for r in facts(spark, "1. One thing.\n2.", "It is here (see the note.", "He said “wait. Then he left.", "```\nprint(1).", "No end"))
+    assert all(r.broken for r in facts(spark, "It was cut h…", "bytes broken�", '{"a": "\\u00'))
+    assert facts(spark, "Long text ends.\n\nNorth desk")[0].signed
+    names = facts(spark, "Head:\n- lot: D12\n- owner: Mara Lia 7")[0]
+    assert (names.value, names.values, names.ending, names.shape) == ("N N 9", ["A2"], None, "owner N N 9")
 
 
 def rows():
@@ -60,3 +64,10 @@ def test_a_shape_of_its_own_is_no_usual_ending(spark):
     every = [(i, *r) for i, r in enumerate(rows())] + [(1000, "The clerk closed the case.\nour board shows a st", "a", True, "length"), (1001, "Record 77 is held", "a", True, "length")]
     df = spark.createDataFrame(every, "id long, text string, src string, done boolean, reason string")
     assert [r.id for r in endings(df, "id", "text", "src", "done", "reason").where("cut").collect()] == [1000]
+
+
+def test_a_name_cut_inside_is_no_usual_ending(spark):
+    items = [(i, *r) for i, r in enumerate(rows())]
+    cut = [(1000 + i, f"About file K-{i}:\n- own", "a", True, "length") for i in range(100, 109)]
+    df = spark.createDataFrame(items + cut, "id long, text string, src string, done boolean, reason string")
+    assert {r.id for r in endings(df, "id", "text", "src", "done", "reason").where("cut").collect()} == {r[0] for r in cut}
