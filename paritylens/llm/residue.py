@@ -20,6 +20,8 @@ WIDE_DOCS, WIDE_SOURCES = 5, 2
 FURNITURE_SHARE = 0.8
 #: Words that a title has at most once page furniture is taken off.
 TITLE_WORDS = 4
+#: Letters by which the words of the rules are known.
+STEM = 6
 
 # Words of the usual Latin filler text.
 FILLER_WORDS = (
@@ -28,12 +30,12 @@ FILLER_WORDS = (
     "qui quis reprehenderit sed sint sit sunt tempor ullamco ut velit veniam voluptate"
 ).split()
 # Phrases of filler, of demands for scripts, of errors and of page
-# furniture, each with the first four letters of the words of which every
-# match has at least one; then phrases of sentences that speak about placeholders.
+# furniture, each with words of which every match has at least one, known by
+# their first six letters; then phrases of sentences that speak about placeholders.
 FILLER = [
     ("text", r"\btext goes here\b"), ("content text", r"\b(your|sample|dummy|placeholder|filler) (content|text)\b.{0,30}(here|replace|before use)?"), ("content", r"\bcontent (goes )?here\b"), ("blindtext", r"\bblindtext\b"),
     ("contenu", r"\bcontenu (à venir|ici|factice)\b"), ("texto contenido", r"\b(texto|contenido) (de ejemplo|de relleno|aquí|próximamente)\b"), ("testo contenuto", r"\b(testo|contenuto) (segnaposto|di esempio|in arrivo|qui)\b"),
-    ("beispieltext", r"\bbeispieltext\b"), ("hier", r"\bhier (steht|kommt|folgt) (der |ihr )?(text|inhalt)\b"), ("asdf qwer zxcv hjkl jkl yuio foo bar baz", r"\b((asdf|qwer|zxcv|hjkl|jkl|yuio|foo|bar|baz)\W+){3,}"), ("lorem", r"\blorem ipsum\b"),
+    ("beispieltext", r"\bbeispieltext\b"), ("steht kommt folgt", r"\bhier (steht|kommt|folgt) (der |ihr )?(text|inhalt)\b"), ("asdf qwer zxcv hjkl jkl yuio foo bar baz", r"\b((asdf|qwer|zxcv|hjkl|jkl|yuio|foo|bar|baz)\W+){3,}"), ("lorem", r"\blorem ipsum\b"),
 ]
 SCRIPTS = [
     ("javascript scripts", r"\b(enable|activate|turn on|allow|requires?|need)\b.{0,30}\b(java ?script|scripts|scripting)\b"), ("javascript scripts", r"\b(java ?script|scripts|scripting)\b.{0,40}\b(is|are|must be|has to be)\b.{0,20}\b(required|needed|disabled|enabled|turned off|on)\b"),
@@ -43,11 +45,11 @@ SCRIPTS = [
 ]
 ERRORS = [
     ("404 403 401 410 429 500 502 503 504", r"\b(404|403|401|410|429|500|502|503|504)\b.{0,4}(not found|forbidden|unauthori[sz]ed|gone|bad gateway|service unavailable|gateway time-?out|internal server error|too many requests|access denied)"),
-    ("error fehler erreur", r"^(http |[\p{L}]+ portal )?(error|fehler|erreur|errore)\W*(code )?[45]\d\d\b"), ("err", r"\berr_[a-z_]+\b"), ("error", r"\binternal server error\b"), ("unavailable", r"\bservice (temporarily )?unavailable\b"), ("gateway found forbidden denied many", r"^([\p{L}-]+ ){0,3}(\d{3}\W*)?(bad gateway|not found|forbidden|access denied|too many requests)\W*$"),
-    ("page", r"\b(requested )?page (could not be|was not|cannot be) (found|located)\b"), ("located", r"\bcould not be located on this server\b"), ("page", r"\bpage is no longer available\b"), ("site", r"\bsite took too long\b"), ("server", r"\bserver is down\b"), ("maintenance", r"\bdown for maintenance\b"),
-    ("again", r"\btry again later\b"), ("site", r"\bcontact the site owner\b"), ("permission", r"\bdo not have permission to (view|access)\b"), ("session", r"\bsession has expired\b"), ("sign", r"\bplease sign in again\b"), ("gateway", r"\bgateway timeout: upstream\b"), ("upstream", r"\bupstream did not answer\b"), ("upstream", r"\binvalid response\b.{0,30}\bupstream\b"),
-    ("traceback", r"\btraceback \(most recent call last\)"), ("failed", r"\b(render|request|query) failed\b.{0,40}\b(missing|context|error)\b"), ("template", r"\btemplate context missing\b"), ("slow", r"\bslow down and retry\b"), ("gefunden", r"\bseite (wurde )?nicht gefunden\b"), ("angeforderte", r"\bangeforderte (adresse|seite)\b"), ("melden", r"\bmelden sie sich erneut an\b"), ("sitzung", r"\bsitzung ist abgelaufen\b"),
-    ("introuvable", r"\bpage introuvable\b"), ("erreur", r"\berreur (\d{3})?\W*retour\b"), ("session", r"\bsession a expiré\b"), ("encontrada", r"\bpágina no encontrada\b"), ("error", r"\berror interno del servidor\b"), ("vuelva", r"\bvuelva a intentarlo más tarde\b"), ("sesión", r"\bsesión ha caducado\b"), ("trovata", r"\bpagina non trovata\b"), ("errore", r"\berrore interno\b"), ("riprova", r"\briprova più tardi\b"), ("error fehler erreur", r"^(errore|error|fehler|erreur) \d{3}\W*$"), ("timeout", r"^gateway timeout\W*$"),
+    ("error fehler erreur", r"^(http |[\p{L}]+ portal )?(error|fehler|erreur|errore)\W*(code )?[45]\d\d\b"), ("err", r"\berr_[a-z_]+\b"), ("error", r"\binternal server error\b"), ("unavailable", r"\bservice (temporarily )?unavailable\b"), ("gateway found forbidden denied requests", r"^([\p{L}-]+ ){0,3}(\d{3}\W*)?(bad gateway|not found|forbidden|access denied|too many requests)\W*$"),
+    ("found located", r"\b(requested )?page (could not be|was not|cannot be) (found|located)\b"), ("located", r"\bcould not be located on this server\b"), ("available", r"\bpage is no longer available\b"), ("took", r"\bsite took too long\b"), ("down", r"\bserver is down\b"), ("maintenance", r"\bdown for maintenance\b"),
+    ("later", r"\btry again later\b"), ("contact", r"\bcontact the site owner\b"), ("permission", r"\bdo not have permission to (view|access)\b"), ("expired", r"\bsession has expired\b"), ("sign", r"\bplease sign in again\b"), ("gateway", r"\bgateway timeout: upstream\b"), ("upstream", r"\bupstream did not answer\b"), ("upstream", r"\binvalid response\b.{0,30}\bupstream\b"),
+    ("traceback", r"\btraceback \(most recent call last\)"), ("render request query", r"\b(render|request|query) failed\b.{0,40}\b(missing|context|error)\b"), ("template", r"\btemplate context missing\b"), ("slow", r"\bslow down and retry\b"), ("gefunden", r"\bseite (wurde )?nicht gefunden\b"), ("angeforderte", r"\bangeforderte (adresse|seite)\b"), ("melden", r"\bmelden sie sich erneut an\b"), ("sitzung", r"\bsitzung ist abgelaufen\b"),
+    ("introuvable", r"\bpage introuvable\b"), ("erreur", r"\berreur (\d{3})?\W*retour\b"), ("session", r"\bsession a expiré\b"), ("encontrada", r"\bpágina no encontrada\b"), ("error", r"\berror interno del servidor\b"), ("intentarlo", r"\bvuelva a intentarlo más tarde\b"), ("sesión", r"\bsesión ha caducado\b"), ("trovata", r"\bpagina non trovata\b"), ("errore", r"\berrore interno\b"), ("riprova", r"\briprova più tardi\b"), ("error fehler erreur", r"^(errore|error|fehler|erreur) \d{3}\W*$"), ("timeout", r"^gateway timeout\W*$"),
 ]
 FURNITURE = [
     ("menu reload loading search log login sign cookie privacy skip back", r"\b(menu|reload|loading|search|log ?in|sign (in|up)|cookie settings|privacy policy|skip to (main )?content|back to (start|home|top))\b"), ("home", r"\bhome( > [\p{L}]+)+"), ("request trace incident ray reference error", r"\b(request|trace|incident|ray|reference|error) (id )?#"), ("node", r"\bat [\p{L}]+ node\b"),
@@ -80,8 +82,8 @@ def _any(rules: list) -> str:
 
 
 def _stems(*rules: list[tuple[str, str]]) -> list[str]:
-    """First four letters of the words without which none of the rules matches."""
-    return sorted({w[:4] for some in rules for words, _ in some for w in words.split()})
+    """Beginnings of the words without which none of the rules matches."""
+    return sorted({w[:STEM] for some in rules for words, _ in some for w in words.split()})
 
 
 def _field(mark: Column) -> Column:
@@ -91,20 +93,22 @@ def _field(mark: Column) -> Column:
 
 def messages(text: Column) -> Column:
     """Lines and sentences of a text."""
-    return F.filter(F.split(text, r"\n+|\s+\|\s+|(?<=[.!?])\s+(?=[\p{Lu}<{\[@$%_\"'(>#*-])|(?<=[.!?])\s+(?=\p{Ll}{2,}\b)"), lambda x: F.trim(x) != "")
+    # A blank comes first in every branch, so most characters fail at once.
+    return F.filter(F.split(text, r"\n+|\s+\|\s+|\s(?<=[.!?]\s)\s*(?=[\p{Lu}<{\[@$%_\"'(>#*-]|\p{Ll}{2,}\b)"), lambda x: F.trim(x) != "")
 
 
 def masked(message: Column) -> Column:
     """A message with numbers, codes, dates and addresses as # , in lower case."""
     x = F.when(message.contains("://") | message.contains("@") | message.contains("www."), F.regexp_replace(message, r"https?://\S+|www\.\S+|\S+@\S+\.\p{L}{2,}", "#")).otherwise(message)
-    return F.lower(F.regexp_replace(F.regexp_replace(x, r"(?<![\p{L}\p{Nd}])\p{Lu}{0,4}-?\p{Nd}{4,}[\p{Nd}/.:-]*(?<![.:/-])|\p{Nd}+/\p{Nd}+", "#"), r"\s+", " "))
+    x = F.when(message.rlike(r"\p{Nd}"), F.regexp_replace(x, r"(?<![\p{L}\p{Nd}])\p{Lu}{0,4}-?\p{Nd}{4,}[\p{Nd}/.:-]*(?<![.:/-])|\p{Nd}+/\p{Nd}+", "#")).otherwise(x)
+    return F.lower(F.when(message.rlike(r"\s[\s&&[^ ]]|[\s&&[^ ]]|  "), F.regexp_replace(x, r"\s+", " ")).otherwise(x))
 
 
 def shape(message: Column) -> Column:
     """What equal messages share: also without placeholders, short numbers and names."""
     x = F.when(message.rlike(_MARKED), F.regexp_replace(message, rf"{STRONG}|{WEAK}", "¤")).otherwise(message)
-    x = F.regexp_replace(x, r"(?<![\p{L}\p{Nd}])\p{Lu}{0,4}-?\p{Nd}[\p{Nd}/.:-]*(?<![.:/-])", "#")
-    return F.lower(F.regexp_replace(x, r"(?<![\p{L}\p{Nd}])\p{Lu}\p{Ll}{2,}(?!\p{L})", "n"))
+    x = F.when(message.rlike(r"\p{Nd}"), F.regexp_replace(x, r"(?<![\p{L}\p{Nd}])\p{Lu}{0,4}-?\p{Nd}[\p{Nd}/.:-]*(?<![.:/-])", "#")).otherwise(x)
+    return F.lower(F.regexp_replace(x, r"\p{Lu}(?<![\p{L}\p{Nd}].)\p{Ll}{2,}(?!\p{L})", "n"))
 
 
 def residue(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
@@ -118,17 +122,15 @@ def residue(df: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     docs = spread(df.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))).withColumn("k", F.xxhash64("text"))
     parts = cut_lineage(_message_rows(docs))
     holds = _with_placeholders(parts)
-    # Each phrase rule runs once for each distinct form that has one of its words.
+    # Each phrase rule runs once for each distinct form that has a word of some rule.
     forms = parts.where("form is not null").select("f", "form").distinct()
-    left = F.size(F.regexp_extract_all(F.regexp_replace("form", _any(FURNITURE), " "), F.lit(f"({WORD})"), F.lit(1)))
-    forms = cut_lineage(forms.select("f", left.alias("left"), _kind(F.col("form")).alias("kind")))
-    kinds = forms.where("kind is not null").select("f", "kind")
+    kinds = cut_lineage(forms.select("f", _kind(F.col("form")).alias("kind")).where("kind is not null"))
     slim = parts.select("id", "k", "source", "h", "f", "n", "filler", F.col("form").isNotNull().alias("asked"))
     # Only documents with a notice or filler can consist of one.
     noticed = slim.where("asked").join(kinds, "f", "left_semi").select("id", "k").unionByName(slim.where("filler").select("id", "k")).distinct()
-    whole = slim.join(noticed, ["id", "k"], "left_semi").join(forms, "f", "left")
+    whole = slim.join(noticed, ["id", "k"], "left_semi").join(kinds, "f", "left")
     kind = F.when(F.col("filler"), "filler").otherwise(F.col("kind"))
-    whole = cut_lineage(whole.select("id", "k", "h", F.coalesce("left", "n").alias("n_words"), kind.alias("kind")))
+    whole = cut_lineage(whole.select("id", "k", "h", F.col("n").alias("n_words"), kind.alias("kind")))
     furniture = _furniture(slim, kinds, whole)
     unknown = F.col("kind").isNull() & (F.col("n_words") > TITLE_WORDS)
     judged = whole.join(furniture, "h", "left").groupBy("id", "k").agg(F.max(unknown & F.col("beside").isNull()).alias("other"), F.max(F.when(F.col("kind").isNotNull(), F.struct("n_words", "kind"))).alias("most"))
@@ -140,21 +142,23 @@ def _message_rows(docs: DataFrame) -> DataFrame:
     """(id, k, source, h, f, n, filler, form, strong, weak, mention), one row for each message.
 
     ``h`` stands for its shape, ``f`` for its masked form, which is kept only
-    where it has a word of some phrase rule; ``n`` counts its words.
+    where it has a word of some phrase rule; ``n`` counts its words without
+    page furniture, which is taken off wherever it stands in a message.
     """
     marks = F.array_distinct(F.regexp_extract_all("message", F.lit(f"({STRONG})"), F.lit(1)))
     weak = F.filter(F.array_distinct(F.regexp_extract_all("message", F.lit(f"({WEAK})"), F.lit(1))), lambda x: ~(F.substring(x, 1, 1).eqNullSafe("<") & _field(x).isin(HTML_TAGS)))
     about = F.lower("message").rlike(_any(MENTION)) | F.col("message").rlike(KEPT)
-    stems = _stems(FILLER, SCRIPTS, ERRORS, FURNITURE)
+    has = lambda *rules: lambda w: F.substring(w, 1, STEM).isin(_stems(*rules))
+    left = F.size(F.regexp_extract_all(F.regexp_replace("form", _any(FURNITURE), " "), F.lit(f"({WORD})"), F.lit(1)))
     # Each select uses the columns of the one before, so none is computed twice.
     rows = docs.select("id", "k", "source", F.explode(messages(F.col("text"))).alias("message")).withColumn("message", F.trim("message"))
     rows = rows.withColumns({"marked": F.col("message").rlike(_MARKED), "form": masked(F.col("message")), "shape": shape(F.col("message"))})
     rows = rows.withColumn("words", F.regexp_extract_all("form", F.lit(f"({WORD})"), F.lit(1)))
     latin = F.size(F.filter("words", lambda w: w.isin(FILLER_WORDS)))
-    rows = rows.withColumns({"asked": F.exists("words", lambda w: F.substring(w, 1, 4).isin(stems)) | F.col("form").contains("©"), "latin": latin})
+    rows = rows.withColumns({"asked": F.exists("words", has(FILLER, SCRIPTS, ERRORS)), "framed": F.exists("words", has(FURNITURE)) | F.col("form").contains("©"), "latin": latin})
     named = F.size(F.filter("words", lambda w: w.rlike(r"\p{L}")))
     return rows.select(
-        "id", "k", "source", F.xxhash64("shape").alias("h"), F.xxhash64("form").alias("f"), F.size("words").alias("n"),
+        "id", "k", "source", F.xxhash64("shape").alias("h"), F.xxhash64("form").alias("f"), F.when(F.col("framed"), left).otherwise(F.size("words")).alias("n"),
         # At least three words, four fifths of them filler.
         F.coalesce(F.when(F.col("latin") >= 3, F.col("latin") * 5 >= named * 4), F.lit(False)).alias("filler"),
         F.when(F.col("asked"), F.col("form")).alias("form"),

@@ -77,4 +77,4 @@ def test_every_rule_has_its_words(spark):
     for words, rule in R.FILLER + R.SCRIPTS + R.ERRORS + R.FURNITURE:
         # The words of a rule are written in it, so a match has one of them.
         plain = re.sub(r"\\.|java \?script", lambda m: "javascript" if "java" in m[0] else " ", rule)
-        assert all(w[:4] in plain.replace(" ?", "") for w in words.split()), (words, rule)
+        assert all(w[: R.STEM] in plain.replace(" ?", "") for w in words.split()), (words, rule)
