@@ -94,6 +94,11 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def work_pieces(spark: SparkSession) -> int:
+    """Partitions for the few texts that need work per character: a quarter of a whole shuffle, but every core."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
 def _forms(texts: DataFrame) -> DataFrame:
     """(k, text) with unique k -> (k, form)."""
     parts, bases = _broadcast_tables(texts.sparkSession)
@@ -101,8 +106,9 @@ def _forms(texts: DataFrame) -> DataFrame:
     # with the one stable character they may combine with.
     piece = F.regexp_extract_all(F.regexp_replace("text", "\r\n?", "\n"), F.lit(rf"[{STABLE}]+(?![^{STABLE}])|[{STABLE}]?[^{STABLE}]+"), F.lit(0))
     points = F.flatten(F.transform(piece, lambda p: F.when(p.rlike(rf"\A[{STABLE}]+\z"), F.array(p)).otherwise(F.split(p, ""))))
-    # All steps below group by k, so this is the only exchange.
-    rows = texts.repartition("k").select("k", F.posexplode(points).alias("pos", "ch"))
+    # All steps below group by k, so this is the only exchange.  Its pieces are
+    # few bytes and much work, so their number is given and not left to their size.
+    rows = texts.repartition(work_pieces(texts.sparkSession), "k").select("k", F.posexplode(points).alias("pos", "ch"))
     rows = rows.join(parts, "ch", "left")
     own = F.array(F.struct(F.col("ch"), F.lit(0).alias("ccc"), F.lit(False).alias("joins")))
     rows = rows.select("k", "pos", F.posexplode_outer(F.coalesce("parts", own)).alias("sub", "part"))
