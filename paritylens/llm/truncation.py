@@ -41,13 +41,14 @@ LIMIT_REASONS = ["length", "max_tokens", "max_length", "token_limit"]
 
 _BLANKS = " \t\n\r\x0b\x0c"
 _JSON = r"\A(?:\{\s*(?:[\"}]|\z)|\[\s*(?:[\[{\"\]\d-]|\z))"
-_CLOSED = r"[.!?。！？][\"'”’»)\]}*_`]*\z"
+_CLOSERS = "\"'”’»)]}*_`"
+_TERMINATORS = [".", "!", "?", "。", "！", "？"]
 _ITEM = r"\A\s*[-*•–+]\s*"
 _NAMED = r"\A\p{L}+\s*:\s*"
 _ESCAPE = r"\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?\z"
 _CODE = r"(?<![\p{L}\p{N}_])[A-Za-z]{1,4}-?\p{Nd}[\p{Nd}/-]*(?:(?<=\p{Nd})(?![\p{L}\p{N}_])|(?<=[/-])(?=[\p{L}\p{N}_]))"
-_EDGE = r"\"'“”.,:;!?()\[\]*_`-"
-_VALUE_EDGE = r"\"'“”.,;!?()*_"
+_EDGE = "\"'“”.,:;!?()[]*_`-"
+_VALUE_EDGE = "\"'“”.,;!?()*_"
 
 
 @functools.cache
@@ -80,9 +81,9 @@ def json_open(body: Column) -> Column:
     return F.when(body.rlike(_JSON), F.when(stack.isNotNull(), (stack != "") | rest.contains('"')))
 
 
-def _tokens(line: Column, edge: str) -> Column:
+def _tokens(pieces: Column, edge: str) -> Column:
     """Pieces between blanks without the given characters at their edges."""
-    return F.filter(F.transform(F.split(line, r"\s+"), lambda w: F.regexp_replace(w, rf"\A[{edge}]+|[{edge}]+\z", "")), lambda w: w != "")
+    return F.filter(F.transform(pieces, lambda w: F.trim(w, F.lit(edge))), lambda w: w != "")
 
 
 def _mask(word: Column) -> Column:
@@ -95,7 +96,7 @@ def _value(text: Column) -> Column:
     one = lambda w: (
         F.when(w.rlike(r"\A[A-Za-z]\p{Nd}*\z"), F.concat(F.lit("A"), (F.length(w) - 1).cast("string"))).when(w.rlike(r"\A\p{Nd}+\z"), "9").when(w.rlike(r"\A\p{L}"), "N").otherwise("?")
     )
-    return F.array_join(F.transform(_tokens(text, _VALUE_EDGE), one), " ")
+    return F.array_join(F.transform(_tokens(F.split(text, r"\s+"), _VALUE_EDGE), one), " ")
 
 
 def _ending(text: Column) -> Column:
@@ -103,13 +104,18 @@ def _ending(text: Column) -> Column:
     return F.lower(F.right(F.regexp_extract(text, r"(\p{L}{2,})[^\p{L}\p{N}_]*\z", 1), F.lit(3)))
 
 
+def _closed(line: Column) -> Column:
+    """Whether a line has a terminator, behind which only quotes and brackets close."""
+    return F.right(F.rtrim(line, F.lit(_CLOSERS)), F.lit(1)).isin(_TERMINATORS)
+
+
 def _left_open(line: Column) -> Column:
     """Whether a line opens a round, square or curly bracket or a quote with a direction and never closes it."""
     marks = F.regexp_replace(line, r"[^()\[\]{}«»“”]+", "")
     # Innermost pairs go first; what opens in the rest stays open.
     for _ in range(3):
         marks = F.regexp_replace(marks, r"\(\)|\[\]|\{\}|«»|“”", "")
-    return marks.rlike(r"[(\[{«“][^)\]}»”]*\z")
+    return F.when(line.rlike(r"[(\[{«“]"), marks.rlike(r"[(\[{«“][^)\]}»”]*\z")).otherwise(F.lit(False))
 
 
 def with_facts(rows: DataFrame, text: str) -> DataFrame:
@@ -123,12 +129,17 @@ def with_facts(rows: DataFrame, text: str) -> DataFrame:
     x = F.col(text)
     stable = is_consistent(x)
     # Each select uses the columns of the one before, so none is computed twice.
-    rows = rows.withColumn("__fold", F.when(stable, x).otherwise(_fold(F.when(~stable, x))))
+    rows = rows.withColumn("__odd", F.when(~stable, x)).withColumn("__fold", F.coalesce(_fold(F.col("__odd")), x)).drop("__odd")
     rows = rows.withColumn("__body", F.rtrim(F.col("__fold"), F.lit(_BLANKS)))
     rows = rows.withColumn("__lines", F.split("__body", "\n"))
     rows = rows.withColumns({"__tail": F.element_at("__lines", -1), "__before": F.filter(F.slice("__lines", 1, F.size("__lines") - 1), lambda y: F.trim(y) != "")})
     rows = rows.withColumn("__last", F.trim(F.col("__tail"), F.lit(_BLANKS)))
-    rows = rows.withColumns({"__words": _tokens(F.regexp_replace("__last", _CODE, "9"), _EDGE), "__items": F.when(F.col("__tail").rlike(_ITEM) & (F.size("__before") > 0), F.filter("__lines", lambda y: y.rlike(_ITEM)))})
+    coded = F.when(F.col("__last").rlike(r"\p{Nd}"), F.regexp_replace("__last", _CODE, "9")).otherwise(F.col("__last"))
+    rows = rows.withColumns({"__pieces": F.split(coded, r"\s+"), "__items": F.when(F.col("__tail").rlike(_ITEM) & (F.size("__before") > 0), F.filter("__lines", lambda y: y.rlike(_ITEM)))})
+    # More words than a shape has are only counted where the first pieces are too few.
+    rows = rows.withColumn("__words", _tokens(F.slice("__pieces", 1, 3 * SHAPE_WORDS), _EDGE))
+    few = (F.size("__words") <= SHAPE_WORDS) & (F.size("__pieces") > 3 * SHAPE_WORDS)
+    rows = rows.withColumn("__words", F.when(few, _tokens(F.col("__pieces"), _EDGE)).otherwise(F.col("__words")))
     rows = rows.withColumns({
         "__n": F.size("__words"),
         "__masked": F.transform(F.slice("__words", 1, SHAPE_WORDS + 1), _mask),
@@ -144,12 +155,13 @@ def with_facts(rows: DataFrame, text: str) -> DataFrame:
     others = F.transform("__others", value_of)
     rows = rows.withColumn("value", F.when(F.col("__listed"), F.when(F.col("__mine"), _value(value_of(F.element_at("__items", -1)))).otherwise("")))
     empty = F.array().cast("array<string>")
-    closed = F.col("__last").rlike(_CLOSED) & ~F.col("__last").rlike(r"\A(?:\p{Nd}+[.)]|[-*•–+]|#+)\z")
-    fence = F.size(F.split("__body", "```")) % 2 == 0
+    closed = _closed(F.col("__last")) & ~F.col("__last").rlike(r"\A(?:\p{Nd}+[.)]|[-*•–+]|#+)\z")
+    fence = F.when(F.col("__body").contains("```"), F.size(F.split("__body", "```")) % 2 == 0).otherwise(F.lit(False))
+    end = F.right("__body", F.lit(8))
     place = F.when(F.size("__before") == 0, "only").when(F.trim(F.element_at("__lines", -2), F.lit(_BLANKS)) == "", "paragraph").otherwise("line")
     rows = rows.withColumns({
         "json_open": json_open(F.trim(F.col("__body"), F.lit(_BLANKS))),
-        "broken": F.col("__body").rlike("[�…]\\z") | F.col("__body").rlike(_ESCAPE) | F.rtrim(x, F.lit(_BLANKS)).endswith("…"),
+        "broken": end.rlike("[�…]\\z") | end.rlike(_ESCAPE) | F.rtrim(x, F.lit(_BLANKS)).endswith("…"),
         "closed": closed & ~fence & ~_left_open(F.col("__last")),
         "place": place,
         "shape": F.when(F.col("__n") <= SHAPE_WORDS, F.array_join("__masked", " ")),
@@ -160,7 +172,7 @@ def with_facts(rows: DataFrame, text: str) -> DataFrame:
         "n_chars": F.length(x),
         "n_bytes": F.octet_length(x),
     })
-    rows = rows.withColumn("signed", (F.col("place") == "paragraph") & (F.col("__n") > 0) & (F.col("__n") <= 4) & F.coalesce(F.trim(F.element_at("__before", -1), F.lit(_BLANKS)).rlike(_CLOSED), F.lit(False)))
+    rows = rows.withColumn("signed", (F.col("place") == "paragraph") & (F.col("__n") > 0) & (F.col("__n") <= 4) & F.coalesce(_closed(F.trim(F.element_at("__before", -1), F.lit(_BLANKS))), F.lit(False)))
     return rows.drop(text, *(c for c in rows.columns if c.startswith("__")))
 
 
