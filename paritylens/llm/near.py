@@ -9,37 +9,39 @@ sets and a record is a sorted array of tokens.
    compared.
 2. Two sets can only reach the threshold if they share a token among the first
    ``n - ceil(t * n) + 1`` of a common order.  The order puts tokens that fall
-   in thinly filled counters of a sketch of fixed size first.
+   in thinly filled counters of a sketch of fixed size first; a token alone in
+   its counter is left out, since no other record has it.
 3. Representatives that share such a token form tiles: in the order of size,
    a record meets those that are at most ``1 / t`` times its size.  A token
-   that more than BLOCK records have is cut into blocks; pairs of blocks are
-   separate tiles in separate tasks.
+   that more than BLOCK records have is cut into size bands of ratio ``1 / t``
+   and these into blocks; two blocks of a band, or of a band and the next, are
+   tiles of their own, in tasks of their own.
 4. Where a pair meets at its first common token, all common tokens stand at or
    after it in both records, which bounds the overlap; bitmaps of SIGNATURE
    words bound it again: bits set in one record alone need as many tokens that
    the other lacks.
 5. What remains is intersected exactly.
 
-Nothing but the bounds in 2 and 4 drops a pair, and they are exact.
+Nothing but the bounds in 2 to 4 drops a pair, and they are exact.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paritylens.llm.consistent import class_pairs, consistent_form, first_copies, text_key
-from paritylens.llm.words import WORD
+from paritylens.llm.words import words
 from paritylens.session import cut_lineage, spread
 
 #: Bits of a signature, in 64-bit words.
-SIGNATURE = 4
+SIGNATURE = 2
 #: Counters of the sketch that orders tokens; its size does not depend on the data.
 COUNTERS = 1 << 21
 #: Records of one token that are compared in one tile.
@@ -50,6 +52,9 @@ PIECE = 2_000
 CHUNK = 200_000
 
 
+_BITS = [f"s{i}" for i in range(SIGNATURE)]
+
+
 def _signature(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Bitmaps of concatenated token arrays, one row of SIGNATURE words each."""
     out = np.zeros((len(ends), SIGNATURE), np.uint64)
@@ -59,30 +64,41 @@ def _signature(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, raw, form) -> (id, raw, class_key, n, tokens)."""
-    import regex
-    import xxhash
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """Bijective scrambling of 64-bit numbers."""
+    x = x ^ np.uint64(salt)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, raw, form_key, words) with sorted hashes of words -> (id, raw, class_key, n, tokens).
 
-    word = regex.compile(WORD)
+    The k-th occurrence of a word is a token of its own; the class key is a
+    128-bit sum over the tokens, so it does not depend on their order.
+    """
     for batch in batches:
-        keys, sizes, arrays = [], [], []
-        for form in batch.column("form").to_pylist():
-            seen: dict[str, int] = {}
-            tokens = []
-            for w in word.findall(form.lower()):
-                seen[w] = k = seen.get(w, 0) + 1
-                tokens.append((xxhash.xxh3_64_intdigest(w) + k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-            found = np.sort(np.array(tokens, np.uint64).view(np.int64))
-            # Without words, only the same form is the same.
-            raw = found.tobytes() if len(found) else form.encode("utf-8", "surrogatepass")
-            keys.append(hashlib.md5(raw, usedforsecurity=False).digest())
-            sizes.append(len(found))
-            arrays.append(found)
-        flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
-        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        lists = batch.column("words")
+        flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        first = np.ones(len(flat), bool)
+        first[1:] = flat[1:] != flat[:-1]
+        first[starts[sizes > 0]] = True
+        at = np.arange(len(flat))
+        nth = at - np.maximum.accumulate(np.where(first, at, 0)) if len(flat) else at
+        tokens = _mixed(flat + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 0)
+        key = np.empty((len(sizes), 2), np.uint64)
+        for i, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
+            run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(tokens, salt))))
+            key[:, i] = run[ends] - run[starts]
+        # Without words, only the same form is the same.
+        keys = [w if not n else k for n, k, w in zip(sizes, key.view("V16")[:, 0].tolist(), batch.column("form_key").to_pylist())]
+        offsets = pa.array(np.concatenate((np.zeros(1, np.int64), ends)).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("raw"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))],
+            [batch.column("id"), batch.column("raw"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(tokens.view(np.int64)))],
             names=["id", "raw", "class_key", "n", "tokens"],
         )
 
@@ -90,22 +106,32 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_records(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, raw, class_key, n, tokens) of every record with an id and a text; ``raw`` is the key of the text as it is."""
     rows = df.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    forms = consistent_form(spread(rows).withColumn("raw", text_key(F.col("text"))), "text").select("id", "raw", "form")
-    return forms.mapInArrow(_tokenise, "id long, raw binary, class_key binary, n int, tokens array<long>")
+    forms = consistent_form(spread(rows).withColumn("raw", text_key(F.col("text"))), "text")
+    hashed = forms.select("id", "raw", "form", F.sort_array(F.transform(words(F.col("form")), lambda w: F.xxhash64(w))).alias("words"))
+    hashed = hashed.select("id", "raw", F.when(F.size("words") == 0, text_key(F.col("form"))).alias("form_key"), "words")
+    return hashed.mapInArrow(_number, "id long, raw binary, class_key binary, n int, tokens array<long>")
 
 
-def _counters(classes: DataFrame) -> np.ndarray:
+def _counters(records: DataFrame) -> np.ndarray:
     """How many tokens fall in each of COUNTERS counters: at most COUNTERS rows reach the driver."""
-    counts = classes.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(COUNTERS)).cast("int").alias("c")).count()
+    counts = records.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(COUNTERS)).cast("int").alias("c")).count()
     got = counts.select("c", F.least(F.col("count"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
     out = np.zeros(COUNTERS, np.int32)
     out[got.column("c").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
+def _bands(threshold: Fraction) -> np.ndarray:
+    """Least sizes of the bands: partners of a record are in its band or a neighbour of it."""
+    least = [1]
+    while least[-1] < 2**31:
+        least.append(least[-1] * threshold.denominator // threshold.numerator + 1)
+    return np.array(least, np.int64)
+
+
 def _prefixes(threshold: Fraction, counters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fill = counters.value
+        fill, bands = counters.value, _bands(threshold)
         for batch in batches:
             lists = batch.column("tokens")
             tokens = lists.flatten().to_numpy(zero_copy_only=False)
@@ -113,35 +139,39 @@ def _prefixes(threshold: Fraction, counters):
             if not len(sizes):
                 continue
             ends = np.cumsum(sizes)
-            sig = _signature(tokens, ends)
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((tokens, fill[tokens % COUNTERS], owner))
+            full = fill[tokens % COUNTERS]
+            order = np.lexsort((tokens, full, owner))
             rank = np.arange(len(tokens)) - np.repeat(ends - sizes, sizes)
             need = -(-threshold.numerator * sizes.astype(np.int64) // threshold.denominator)
-            keep = rank < np.repeat(sizes - need + 1, sizes)
-            kept, own = tokens[order][keep], owner[keep]
+            # A token that no other record has makes no pair.
+            keep = (rank < np.repeat(sizes - need + 1, sizes)) & (full[order] > 1)
+            own = owner[keep]
+            sig = _signature(tokens, ends)
+            band = np.searchsorted(bands, sizes, "right") - 1
             ids = batch.column("id").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kept), pa.array(ids[own]), pa.array(sizes[own], pa.int32()), pa.array(rank[keep], pa.int32()), *(pa.array(sig[own, i].view(np.int64)) for i in range(SIGNATURE))],
-                names=["token", "id", "n", "place", *(f"s{i}" for i in range(SIGNATURE))],
+                [pa.array(tokens[order][keep]), pa.array(ids[own]), pa.array(sizes[own], pa.int32()), pa.array(band[own], pa.int32()), pa.array(rank[keep], pa.int32()), *(pa.array(sig[own, i].view(np.int64)) for i in range(SIGNATURE))],
+                names=["token", "id", "n", "band", "place", *_BITS],
             )
 
     return run
 
 
 def _sweep(threshold: Fraction):
-    """Rows sorted by (token, i, j, n, id) -> candidate pairs of each tile."""
+    """Rows sorted by (token, low, i, j, n, id) -> candidate pairs of each tile."""
     num, den = threshold.numerator, threshold.denominator
 
     def tile(rows: pa.Table) -> pa.RecordBatch:
         col = lambda c: rows.column(c).to_numpy()
-        token, i, j, own = (col(c) for c in ("token", "i", "j", "own"))
-        at = np.cumsum(np.r_[0, (np.diff(token) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)])
-        n, ids = col("n").astype(np.int64), col("id")
+        at = np.cumsum(np.r_[0, np.any([np.diff(col(c)) != 0 for c in ("token", "low", "i", "j")], axis=0)])
+        n, ids, band, own = col("n").astype(np.int64), col("id"), col("band"), col("own")
         # Tokens from the common one on; size of which a partner has at most.
         rest = n - col("place")
         widest = den * n
-        sig = [col(f"s{k}").view(np.uint64) for k in range(SIGNATURE)]
+        # A tile of two bands, or of two blocks of one, compares across only.
+        within = (col("high") == col("low")) & (col("i") == col("j"))
+        bits = [col(c).view(np.uint64) for c in _BITS]
         found_a, found_b = [], []
         # The smaller of two records has its common token early: its partner is no smaller.
         live = np.flatnonzero((den + num) * rest >= 2 * num * n)
@@ -153,24 +183,24 @@ def _sweep(threshold: Fraction):
             # Sizes ascend within a tile, so a record that has left its band is done.
             near = (at[live] == at[other]) & (widest[live] >= num * n[other])
             live, other = live[near], other[near]
-            need = num * (n[live] + n[other])
-            fits = (den + num) * np.minimum(rest[live], rest[other]) >= need
-            fits &= (i[live] == j[live]) | (own[live] != own[other])
-            a, b, need = live[fits], other[fits], need[fits]
+            fits = (den + num) * np.minimum(rest[live], rest[other]) >= num * (n[live] + n[other])
+            fits &= within[live] | (own[live] != own[other]) | (band[live] != band[other])
+            a, b = live[fits], other[fits]
             if not len(a):
                 continue
             lack_a = np.zeros(len(a), np.int64)
             lack_b = np.zeros(len(a), np.int64)
-            for s in sig:
+            for s in bits:
                 x, y = s[a], s[b]
-                both = x & y
-                lack_a += np.bitwise_count(x ^ both)
-                lack_b += np.bitwise_count(y ^ both)
-            fits = (den + num) * np.minimum(n[a] - lack_a, n[b] - lack_b) >= need
+                lack_a += np.bitwise_count(x & ~y)
+                lack_b += np.bitwise_count(y & ~x)
+            fits = (den + num) * np.minimum(n[a] - lack_a, n[b] - lack_b) >= num * (n[a] + n[b])
             found_a.append(ids[a[fits]])
             found_b.append(ids[b[fits]])
         pairs = np.stack([np.concatenate(found_a), np.concatenate(found_b)]) if found_a else np.zeros((2, 0), np.int64)
-        pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+        pairs = np.sort(pairs, axis=0)
+        pairs = pairs[:, np.lexsort(pairs[::-1])]
+        pairs = pairs[:, np.r_[True, np.any(pairs[:, 1:] != pairs[:, :-1], axis=0)]] if pairs.shape[1] else pairs
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["id_a", "id_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +212,7 @@ def _sweep(threshold: Fraction):
             if size < CHUNK:
                 continue
             rows = pa.Table.from_batches(held)
-            key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j")])
+            key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("token", "low", "i", "j")])
             # The last tile may go on in the next batch.
             before = np.flatnonzero((key != key[:, -1:]).any(axis=0))
             cut = int(before[-1]) + 1 if len(before) else 0
@@ -196,12 +226,34 @@ def _sweep(threshold: Fraction):
 
 
 def _tiles(index: DataFrame) -> DataFrame:
-    """Index rows with their tile (token, i, j) and own block; rows of crowded tokens go to several tiles."""
+    """Index rows with their tile (token, low, high, i, j) and own block.
+
+    Records of a token are one tile.  A token that more than BLOCK records
+    have is cut into size bands, and a band into blocks; a tile then holds two
+    blocks of a band, or one of a band and one of the next.
+    """
     # Counted with map-side sums; at most (index rows / BLOCK) tokens are crowded.
-    crowded = index.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    wide = index.join(crowded, "token", "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int"))
-    mates = F.transform(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("i"), F.greatest(b, F.col("own")).alias("j")))
-    return wide.withColumn("mate", F.explode(mates)).select("token", F.col("mate.i").alias("i"), F.col("mate.j").alias("j"), "own", "n", "place", "id", *(f"s{k}" for k in range(SIGNATURE)))
+    counts = index.groupBy("token", "band").count()
+    crowded = counts.groupBy("token").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("count") / BLOCK).cast("int")))).alias("blocks")).where(F.col("n") > BLOCK).select("token", "blocks")
+    rows = index.join(crowded, "token", "left")
+    calm = rows.where("blocks is null").select("token", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "band", "n", "place", "id", *_BITS)
+    wide = rows.where("blocks is not null").withColumn("own", F.pmod(F.xxhash64("id"), F.element_at("blocks", F.col("band"))).cast("int"))
+
+    def every(band: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.coalesce(F.element_at("blocks", band), F.lit(0))), lambda b: b < F.coalesce(F.element_at("blocks", band), F.lit(0)))
+
+    def mate(low: Column, high: Column, i: Column, j: Column) -> Column:
+        return F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"))
+
+    band, own = F.col("band"), F.col("own")
+    mates = F.concat(
+        F.transform(every(band), lambda b: mate(band, band, F.least(b, own), F.greatest(b, own))),
+        F.transform(every(band + 1), lambda b: mate(band, band + 1, own, b)),
+        F.transform(every(band - 1), lambda b: mate(band - 1, band, b, own)),
+    )
+    # Tiles of one band and of two get numbers of their own.
+    wide = wide.withColumn("mate", F.explode(mates)).select("token", (F.col("mate.low") * 2 + (F.col("mate.high") - F.col("mate.low")) + 1).alias("low"), "mate.high", "mate.i", "mate.j", "own", "band", "n", "place", "id", *_BITS)
+    return calm.unionByName(wide.withColumn("high", F.when(F.col("low") % 2 == 1, F.col("low")).otherwise(-1)))
 
 
 def near_classes(df: DataFrame, id_col: str, text: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -217,20 +269,25 @@ def near_classes(df: DataFrame, id_col: str, text: str, threshold: float = 0.8)
     t = Fraction(str(threshold))
     spark = df.sparkSession
     records = cut_lineage(token_records(df, id_col, text))
-    classes = records.groupBy("class_key").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("n_records"))
-    members = records.groupBy("id", "class_key").agg(F.min("raw").alias("raw")).join(classes, "class_key")
-    # One row per class: the record whose id is the smallest.
-    reps = records.join(classes.select("class_key", F.col("rep").alias("id")), ["class_key", "id"], "left_semi").where("n > 0").select("id", "n", "tokens").dropDuplicates(["id"])
-    reps = cut_lineage(reps)
-    counters = spark.sparkContext.broadcast(_counters(reps))
-    schema = "token long, id long, n int, place int, " + ", ".join(f"s{i} long" for i in range(SIGNATURE))
-    index = cut_lineage(reps.mapInArrow(_prefixes(t, counters), schema))
-    tiles = _tiles(index).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "id")
-    candidates = tiles.mapInArrow(_sweep(t), "id_a long, id_b long").distinct()
-    a = reps.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
-    b = reps.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
-    both = candidates.join(a, "id_a").join(b, "id_b").withColumn("common", F.size(F.array_intersect("t_a", "t_b")))
-    exact = both.where((t.denominator + t.numerator) * F.col("common") >= t.numerator * (F.col("n_a") + F.col("n_b")))
+    narrow = records.groupBy("id", "class_key").agg(F.min("raw").alias("raw"))
+    # Copies are counted per text before a class meets, so a hot class sends one row per map task.
+    classes = narrow.groupBy("class_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_records"))
+    members = narrow.join(classes, "class_key")
+    # Only classes of several records have to be told which is their representative.
+    several = classes.where("n_records > 1").select("class_key", "rep")
+    filled = records.where("n > 0")
+    reps = filled.join(several, "class_key", "left").where("rep is null or rep = id").select("id", "n", "tokens")
+    counters = spark.sparkContext.broadcast(_counters(filled))
+    index = cut_lineage(reps.mapInArrow(_prefixes(t, counters), "token long, id long, n int, band int, place int, " + ", ".join(f"{c} long" for c in _BITS)))
+    keys = ["token", "low", "i", "j"]
+    tiles = _tiles(index).repartition(*keys).sortWithinPartitions(*keys, "n", "id")
+    candidates = cut_lineage(tiles.mapInArrow(_sweep(t), "id_a long, id_b long").distinct())
+    asked = candidates.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    sides = cut_lineage(filled.select("id", "n", "tokens").join(asked, "id", "left_semi").dropDuplicates(["id"]))
+    a, b = (sides.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}")) for x in "ab")
+    both = candidates.join(a, "id_a").join(b, "id_b")
+    enough = (t.denominator + t.numerator) * F.col("common") >= t.numerator * (F.col("n_a") + F.col("n_b"))
+    exact = both.withColumn("common", F.size(F.array_intersect("t_a", "t_b"))).where(enough)
     links = exact.select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b"), (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("similarity"))
     return members, links
 

@@ -5,8 +5,9 @@ import pytest
 import regex
 
 from paritylens.llm import near as N
+from paritylens.llm import words
 
-WORD = regex.compile(N.WORD)
+WORD = regex.compile(words.WORD)
 
 
 def brute(rows, t=0.7):
