@@ -41,7 +41,7 @@ from paritylens.llm.words import words
 from paritylens.session import cut_lineage, spread
 
 #: Bits of a signature, in 64-bit words.
-SIGNATURE = 2
+SIGNATURE = 4
 #: Counters of the sketch that orders tokens; its size does not depend on the data.
 COUNTERS = 1 << 21
 #: Records of one token that are compared in one tile.
@@ -130,6 +130,8 @@ def _bands(threshold: Fraction) -> np.ndarray:
 
 
 def _prefixes(threshold: Fraction, counters):
+    block = BLOCK
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fill, bands = counters.value, _bands(threshold)
         for batch in batches:
@@ -147,30 +149,29 @@ def _prefixes(threshold: Fraction, counters):
             # A token that no other record has makes no pair.
             keep = (rank < np.repeat(sizes - need + 1, sizes)) & (full[order] > 1)
             own = owner[keep]
+            found, size = tokens[order][keep], sizes[own].astype(np.int64)
             sig = _signature(tokens, ends)
             band = np.searchsorted(bands, sizes, "right") - 1
             ids = batch.column("id").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens[order][keep]), pa.array(ids[own]), pa.array(sizes[own], pa.int32()), pa.array(band[own], pa.int32()), pa.array(rank[keep], pa.int32()), *(pa.array(sig[own, i].view(np.int64)) for i in range(SIGNATURE))],
-                names=["token", "id", "n", "band", "place", *_BITS],
+                [pa.array(found), pa.array(ids[own]), pa.array((size << 32) + rank[keep]), pa.array(band[own], pa.int32()), pa.array(fill[found % COUNTERS] > block), *(pa.array(sig[own, i].view(np.int64)) for i in range(SIGNATURE))],
+                names=["token", "id", "spot", "band", "thick", *_BITS],
             )
 
     return run
 
 
 def _sweep(threshold: Fraction):
-    """Rows sorted by (token, low, i, j, n, id) -> candidate pairs of each tile."""
-    num, den = threshold.numerator, threshold.denominator
+    """Rows (tile, spot, side, id, s0...) sorted by tile and spot -> candidate pairs of each tile."""
+    num, den, chunk = threshold.numerator, threshold.denominator, CHUNK
 
     def tile(rows: pa.Table) -> pa.RecordBatch:
         col = lambda c: rows.column(c).to_numpy()
-        at = np.cumsum(np.r_[0, np.any([np.diff(col(c)) != 0 for c in ("token", "low", "i", "j")], axis=0)])
-        n, ids, band, own = col("n").astype(np.int64), col("id"), col("band"), col("own")
+        at = np.cumsum(np.r_[0, np.diff(col("tile")) != 0])
+        n, ids, side = col("spot") >> 32, col("id"), col("side")
         # Tokens from the common one on; size of which a partner has at most.
-        rest = n - col("place")
+        rest = n - (col("spot") & 0xFFFFFFFF)
         widest = den * n
-        # A tile of two bands, or of two blocks of one, compares across only.
-        within = (col("high") == col("low")) & (col("i") == col("j"))
         bits = [col(c).view(np.uint64) for c in _BITS]
         found_a, found_b = [], []
         # The smaller of two records has its common token early: its partner is no smaller.
@@ -184,7 +185,8 @@ def _sweep(threshold: Fraction):
             near = (at[live] == at[other]) & (widest[live] >= num * n[other])
             live, other = live[near], other[near]
             fits = (den + num) * np.minimum(rest[live], rest[other]) >= num * (n[live] + n[other])
-            fits &= within[live] | (own[live] != own[other]) | (band[live] != band[other])
+            # Where a tile has two sides, only records of different ones meet here.
+            fits &= (side[live] < 0) | (side[live] != side[other])
             a, b = live[fits], other[fits]
             if not len(a):
                 continue
@@ -209,12 +211,12 @@ def _sweep(threshold: Fraction):
         for batch in batches:
             held.append(batch)
             size += len(batch)
-            if size < CHUNK:
+            if size < chunk:
                 continue
             rows = pa.Table.from_batches(held)
-            key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("token", "low", "i", "j")])
+            key = rows.column("tile").to_numpy()
             # The last tile may go on in the next batch.
-            before = np.flatnonzero((key != key[:, -1:]).any(axis=0))
+            before = np.flatnonzero(key != key[-1])
             cut = int(before[-1]) + 1 if len(before) else 0
             if cut:
                 yield tile(rows.slice(0, cut))
@@ -226,34 +228,37 @@ def _sweep(threshold: Fraction):
 
 
 def _tiles(index: DataFrame) -> DataFrame:
-    """Index rows with their tile (token, low, high, i, j) and own block.
+    """(tile, spot, side, id, s0...): index rows with the number of their tile and their side in it.
 
     Records of a token are one tile.  A token that more than BLOCK records
-    have is cut into size bands, and a band into blocks; a tile then holds two
-    blocks of a band, or one of a band and one of the next.
+    have is cut into size bands, and a band into blocks; a tile then holds one
+    block, or two blocks of a band, or one of a band and one of the next.
     """
-    # Counted with map-side sums; at most (index rows / BLOCK) tokens are crowded.
-    counts = index.groupBy("token", "band").count()
-    crowded = counts.groupBy("token").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("count") / BLOCK).cast("int")))).alias("blocks")).where(F.col("n") > BLOCK).select("token", "blocks")
-    rows = index.join(crowded, "token", "left")
-    calm = rows.where("blocks is null").select("token", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), "band", "n", "place", "id", *_BITS)
-    wide = rows.where("blocks is not null").withColumn("own", F.pmod(F.xxhash64("id"), F.element_at("blocks", F.col("band"))).cast("int"))
-
-    def every(band: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.coalesce(F.element_at("blocks", band), F.lit(0))), lambda b: b < F.coalesce(F.element_at("blocks", band), F.lit(0)))
-
-    def mate(low: Column, high: Column, i: Column, j: Column) -> Column:
-        return F.struct(low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"))
-
-    band, own = F.col("band"), F.col("own")
-    mates = F.concat(
-        F.transform(every(band), lambda b: mate(band, band, F.least(b, own), F.greatest(b, own))),
-        F.transform(every(band + 1), lambda b: mate(band, band + 1, own, b)),
-        F.transform(every(band - 1), lambda b: mate(band - 1, band, b, own)),
-    )
-    # Tiles of one band and of two get numbers of their own.
-    wide = wide.withColumn("mate", F.explode(mates)).select("token", (F.col("mate.low") * 2 + (F.col("mate.high") - F.col("mate.low")) + 1).alias("low"), "mate.high", "mate.i", "mate.j", "own", "band", "n", "place", "id", *_BITS)
-    return calm.unionByName(wide.withColumn("high", F.when(F.col("low") % 2 == 1, F.col("low")).otherwise(-1)))
+    # A token is crowded only if its counter of the sketch is, so few rows are counted;
+    # at most (index rows / BLOCK) tokens are crowded.
+    thick = index.where("thick")
+    per_band = thick.groupBy("token", "band").agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("n") / BLOCK).cast("int"))))
+    crowded = per_band.groupBy("token").agg(F.sum("n").alias("n"), blocks.alias("blocks")).where(F.col("n") > BLOCK).select("token", "blocks")
+    marked = thick.join(crowded, "token", "left")
+    row = ["spot", "side", "id", *_BITS]
+    calm = index.where("not thick").unionByName(marked.where("blocks is null").drop("blocks")).withColumn("side", F.lit(-1)).select(F.col("token").alias("tile"), *row)
+    wide = marked.where("blocks is not null").withColumn("own", F.pmod(F.xxhash64("id"), F.element_at("blocks", F.col("band"))).cast("int"))
+
+    def mates(other: Column, lower: Column) -> Column:
+        """Tiles with the blocks of another band, or of the own one."""
+        count = F.coalesce(F.element_at("blocks", other), F.lit(0))
+        same = other == F.col("band")
+        here, there = F.struct(F.col("band"), F.col("own")), lambda j: F.struct(other.alias("band"), j.alias("own"))
+        pair = lambda j: F.when(lower, F.xxhash64("token", here, there(j))).otherwise(F.xxhash64("token", there(j), here))
+        of = lambda j: F.struct(pair(j).alias("tile"), F.when(same & (j == F.col("own")), F.lit(-1)).otherwise(F.col("own") * 2 + F.col("band") % 2).alias("side"))
+        inner = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda j: F.when(same & (j < F.col("own")), F.struct(F.xxhash64("token", there(j), here).alias("tile"), (F.col("own") * 2 + F.col("band") % 2).alias("side"))).otherwise(of(j)))
+        return F.when(count > 0, inner).otherwise(F.array().cast("array<struct<tile:bigint,side:int>>"))
+
+    band = F.col("band")
+    every = F.concat(mates(band, F.lit(True)), mates(band + 1, F.lit(True)), mates(band - 1, F.lit(False)))
+    wide = wide.withColumn("mate", F.explode(every)).select(F.col("mate.tile").alias("tile"), "spot", F.col("mate.side").alias("side"), "id", *_BITS)
+    return calm.unionByName(wide)
 
 
 def near_classes(df: DataFrame, id_col: str, text: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -278,9 +283,8 @@ def near_classes(df: DataFrame, id_col: str, text: str, threshold: float = 0.8)
     filled = records.where("n > 0")
     reps = filled.join(several, "class_key", "left").where("rep is null or rep = id").select("id", "n", "tokens")
     counters = spark.sparkContext.broadcast(_counters(filled))
-    index = cut_lineage(reps.mapInArrow(_prefixes(t, counters), "token long, id long, n int, band int, place int, " + ", ".join(f"{c} long" for c in _BITS)))
-    keys = ["token", "low", "i", "j"]
-    tiles = _tiles(index).repartition(*keys).sortWithinPartitions(*keys, "n", "id")
+    index = cut_lineage(reps.mapInArrow(_prefixes(t, counters), "token long, id long, spot long, band int, thick boolean, " + ", ".join(f"{c} long" for c in _BITS)))
+    tiles = _tiles(index).repartition("tile").sortWithinPartitions("tile", "spot")
     candidates = cut_lineage(tiles.mapInArrow(_sweep(t), "id_a long, id_b long").distinct())
     asked = candidates.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     sides = cut_lineage(filled.select("id", "n", "tokens").join(asked, "id", "left_semi").dropDuplicates(["id"]))
