@@ -14,6 +14,9 @@ from paritylens.llm.words import words
 from paritylens.session import cut_lineage, spread
 
 
+_BLANKS = " \t\n\r\x0b\x0c"
+
+
 class _Fields(list):
     """The (name, value) pairs of a JSON object; a repeated name is kept."""
 
@@ -28,7 +31,7 @@ def _flat(value) -> str:
 
 
 def canonical_json(text: str) -> str | None:
-    """The words of a JSON object, fields in one order; None for any other text.
+    """The words of a JSON object or array, fields in one order; None for any other text.
 
     Numbers keep their spelling.  Letter case plays no part, so ``TRUE`` is a
     value like ``true``.
@@ -38,7 +41,7 @@ def canonical_json(text: str) -> str | None:
             value = json.loads(attempt, object_pairs_hook=_Fields, parse_int=str, parse_float=str, parse_constant=str)
         except (ValueError, RecursionError):
             continue
-        return _flat(value) if isinstance(value, _Fields) else None
+        return _flat(value) if isinstance(value, list) else None
     return None
 
 
@@ -48,10 +51,14 @@ def _canonical_json(texts: pd.Series) -> pd.Series:
 
 
 def canonical_text(form):
-    """What records with the same content share: their words in order, fields of a JSON object sorted."""
-    looks_json = form.rlike(r"(?s)\A\s*\{.*\}\s*\z")
-    flat = F.when(looks_json, _canonical_json(F.when(looks_json, form)))
-    return F.array_join(words(F.coalesce(flat, form)), " ")
+    """What records with the same content share: their words in order, fields of JSON objects sorted.
+
+    A text without words is the same as others of its form; the empty text stays empty.
+    """
+    ends = F.concat(F.left(F.ltrim(form, F.lit(_BLANKS)), F.lit(1)), F.right(F.rtrim(form, F.lit(_BLANKS)), F.lit(1)))
+    flat = _canonical_json(F.when(ends.isin("{}", "[]"), form))
+    in_order = F.array_join(words(F.coalesce(flat, form)), " ")
+    return F.when(in_order != "", in_order).otherwise(F.trim(form, F.lit(_BLANKS)))
 
 
 def copy_classes(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -59,16 +66,19 @@ def copy_classes(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
     Byte-identical contents are counted first; only distinct ones are brought
     to consistent form and canonical words, and the counts are summed over
-    the full canonical text.  Null contents, and contents without words, are
-    left out, as are rows without an id.  A repeated row counts as often as it occurs in ``n_copies``
+    the full canonical text.  Null contents, and contents of nothing but
+    blanks or characters without ink, are left out, as are rows without an id.  A repeated row counts as often as it occurs in ``n_copies``
     and has one row here.
     """
     records = spread(df.where(F.col(id_col).isNotNull() & F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))).withColumn("raw", text_key(F.col("text")))
     survivors = records.groupBy("raw").agg(F.first("text").alias("text"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
-    canonical = consistent_form(survivors, "text").select("raw", "least", "n", canonical_text(F.col("form")).alias("content")).where("content <> ''")
-    canonical = cut_lineage(canonical)
-    classes = canonical.groupBy("content").agg(F.min("least").alias("first_id"), F.sum("n").alias("n_copies"))
-    by_raw = canonical.select("raw", "content").join(classes, "content").select("raw", "first_id", "n_copies")
+    # The generator keeps the content from being made again for every use.
+    content = F.explode(F.array(canonical_text(F.col("form")))).alias("content")
+    canonical = consistent_form(survivors, "text").select("raw", "least", "n", content).where("content <> ''")
+    canonical = cut_lineage(canonical.withColumn("key", text_key(F.col("content"))))
+    # Grouped on the full text; what joins back is its key.
+    classes = canonical.groupBy("content", "key").agg(F.min("least").alias("first_id"), F.sum("n").alias("n_copies")).select("key", "first_id", "n_copies")
+    by_raw = canonical.select("raw", "key").join(classes, "key").select("raw", "first_id", "n_copies")
     return records.select("id", "raw").join(by_raw, "raw").select("id", "first_id", "n_copies").distinct()
 
 

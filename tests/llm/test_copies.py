@@ -10,7 +10,7 @@ TEXTS = [
 def test_copies(spark):
     df = spark.createDataFrame([(*r, "x") for r in TEXTS], "id long, text string, raw string")
     assert {tuple(r) for r in copy_pairs(df, "id", "text").collect()} == {(1, 2), (1, 3), (1, 11), (5, 6), (12, 13)}
-    assert {tuple(r) for r in collapse(df, "id", "text").collect()} == {(1, 4), (4, 1), (5, 2), (7, 1), (12, 2)}
+    assert {tuple(r) for r in collapse(df, "id", "text").collect()} == {(1, 4), (4, 1), (5, 2), (7, 1), (10, 1), (12, 2)}
 
 
 def test_repeated_rows_and_no_rows(spark):
@@ -22,4 +22,12 @@ def test_repeated_rows_and_no_rows(spark):
 def test_json_order_of_fields_only():
     assert canonical_json('{"b": [1, {"y": 2, "x": 3}], "a": null}') == canonical_json('{"a":null,"b":[1,{"x":3,"y":2}]}')
     assert canonical_json('{"a": 1.50}') != canonical_json('{"a": 1.5}')
-    assert canonical_json("[1, 2]") is None and canonical_json("{broken") is None and canonical_json("{" * 5000) is None
+    assert canonical_json('[{"a": 1, "b": 2}]') == canonical_json('[{"b": 2, "a": 1}]') != canonical_json('[{"b": 1, "a": 2}]')
+    assert canonical_json("[1, 2]") != canonical_json("[2, 1]") and canonical_json("3") is None and canonical_json("{broken") is None and canonical_json("{" * 5000) is None
+
+
+def test_contents_without_words_and_arrays(spark):
+    texts = ["!!!", "👍", "！！！", " \n ", "\u200b", '[{"a": 1, "b": 2}]', '[{"b": 2, "a": 1}]', '[{"a": 2, "b": 1}]', "[1, 2]", "1 2"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    assert {tuple(r) for r in collapse(df, "id", "text").collect()} == {(0, 2), (1, 1), (5, 2), (7, 1), (8, 2)}
+    assert {tuple(r) for r in copy_pairs(df, "id", "text").collect()} == {(0, 2), (5, 6), (8, 9)}
