@@ -136,7 +136,7 @@ r AS (SELECT chat_id, sum(cover) AS n_repeated FROM c GROUP BY chat_id),
 shares AS (SELECT t.chat_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_repeated, 0) AS BIGINT) AS n_repeated FROM t LEFT JOIN r USING (chat_id))
 """
 _LEAKS = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>\n]{0,200}>|&#?[A-Za-z0-9]{1,8};', ' ', 'g')), '[\p{L}\p{Nd}]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>\n]*>|&#?[A-Za-z0-9]{1,8};', ' ', 'g')), '[\p{L}\p{Nd}]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{Nd}]+') AS w FROM eval_items),
 dg AS (SELECT doc_id, array_to_string(list_slice(w, k, k + 11), ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
 ig AS (SELECT item_id, array_to_string(list_slice(w, k, k + 11), ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12)),
