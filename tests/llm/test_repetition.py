@@ -4,7 +4,7 @@ from fractions import Fraction
 import regex
 
 from paritylens.llm.repetition import order_rules, repeated_share, repetitive, rules
-from paritylens.llm.words import WORD
+from paritylens.llm.words import WORD, words
 
 
 def brute(text, run=5):
@@ -44,7 +44,7 @@ def test_cases_do_not_depend_on_the_order_of_rules(spark):
     want = {i for i, x in rows if brute(x)[0] >= 40 and brute(x)[1] * 10 >= brute(x)[0] * 3}
     assert {r.id for r in repetitive(df, "id", "text").collect()} == want
     for name, rule in rules(5, 40, Fraction("0.3")).items():
-        kept = {r.id for r in df.where(rule(df.text)).collect()}
+        kept = {r.id for r in df.where(rule(df.text, words(df.text))).collect()}
         assert want <= kept, name
     assert sorted(order_rules(df, "text", 5, 40, Fraction("0.3"))) == ["count", "kinds", "length", "pairs"]
 
@@ -54,3 +54,14 @@ def test_repeated_rows_long_text_and_no_rows(spark):
     df = spark.createDataFrame([(1, long), (1, long), (2, "a")], "id long, text string")
     assert sorted(r.id for r in repetitive(df, "id", "text").collect()) == [1, 1]
     assert repetitive(df.limit(0), "id", "text").count() == 0
+
+
+def test_the_cheap_rule_comes_first_and_the_order_is_stable(spark):
+    g = random.Random(3)
+    rows = [(i, " ".join(f"w{g.randint(0, 500)}" for _ in range(g.choice([5, 20, 200])))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    orders = [order_rules(df, "text", 5, 40, Fraction("0.3")) for _ in range(3)]
+    # Two thirds are short, which the length tells at next to no cost.
+    assert all(o[0] == "length" for o in orders) and len({tuple(o) for o in orders}) == 1
+    order = order_rules(df.where("length(text) > 300"), "text", 5, 40, Fraction("0.3"))
+    assert order.index("kinds") < order.index("length")
