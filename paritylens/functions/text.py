@@ -115,8 +115,11 @@ def json_facts(c: Column) -> Column:
 
 
 def normalise_text(c: Column) -> Column:
-    """Layout and punctuation in one form: no headings, list markers, emphasis, blank lines."""
-    t = F.translate(c, "‘’‚‛“”„‟–—− ", "''''\"\"\"\"--- ")
+    """Layout and punctuation in one form: no headings, list markers, emphasis, blank lines.
+
+    The builtins serve plain ASCII, which has none of the punctuation to be replaced.
+    """
+    t = c
     for pattern, by in ((HEADING, ""), (MARKER, ""), (r"[*_`]", ""), (r"[ \t]+", " "), (r"(?m)^[ \t\r]+|[ \t\r]+$", ""), (r"\n{2,}", "\n"), (r"\A\s+|\s+\z", "")):
         t = F.regexp_replace(t, pattern, by)
     return F.when(_plain(c), t).otherwise(_text_udf(F.when(~_plain(c), c)))

@@ -7,11 +7,14 @@ distinct texts.  Rules are rows; nothing is collected.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paritylens.functions import text as X
+from paritylens.session import cut_lineage
 
 HARD, BAND, ENUM_MOST = 0.99, 0.60, 6
 #: Rules in the order they are proposed.
@@ -49,31 +52,73 @@ def candidates(profiled: DataFrame, by: list[str]) -> DataFrame:
     keys = keys.join(total.select(*by, "objects"), by).where("n = objects")
     few = pairs.join(keys.where(f"values > 1 and values <= {ENUM_MOST}").select(*by, "key"), [*by, "key"], "left_semi").groupBy(*by, "key").agg(F.array_sort(F.collect_set("value")).alias("allowed"))
     shape = lambda df, kind, allowed: df.select(*by, F.lit(kind).alias("kind"), "key", none.alias("lo"), none.alias("hi"), allowed.alias("allowed"))
-    return general.unionByName(shape(keys, "json_key_present", no)).unionByName(shape(keys.where("types = 1"), "json_key_type", F.array("type"))).unionByName(shape(few, "json_enum", F.col("allowed")))
+    found = general.unionByName(shape(keys, "json_key_present", no)).unionByName(shape(keys.where("types = 1"), "json_key_type", F.array("type"))).unionByName(shape(few, "json_enum", F.col("allowed")))
+    for propose in PROPOSALS:
+        found = found.unionByName(propose(profiled, by))
+    return found
 
 
 def fixed_type(column: Column, df: DataFrame) -> str:
     return df.select(column.alias("x")).schema["x"].dataType.simpleString()
 
 
+#: Kinds of rules by name: a column expression of the profiled output and the rule; the order is that of proposal.
+HOLDS: dict[str, Callable[[Column], Column]] = {}
+#: Further proposals of rules: (profiled, by) -> (by..., kind, key, lo, hi, allowed).
+PROPOSALS: list[Callable[[DataFrame, list[str]], DataFrame]] = []
+
+
+def rule(kind: str, propose: Callable[[DataFrame, list[str]], DataFrame] | None = None) -> Callable:
+    """Register how a kind of rule is checked and, for a kind of the caller's own, what proposes it.
+
+    The function gets the rule as STRUCT<kind, key, lo, hi, allowed> and makes
+    a boolean column of it and the columns of ``profile``.
+    """
+
+    def register(holds: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        HOLDS[kind] = holds
+        if kind not in KINDS:
+            KINDS.append(kind)
+        if propose is not None:
+            PROPOSALS.append(propose)
+        return holds
+
+    return register
+
+
+def unregister(kind: str, propose: Callable | None = None) -> None:
+    """Take a kind of the caller's own out again."""
+    HOLDS.pop(kind)
+    KINDS.remove(kind)
+    if propose is not None:
+        PROPOSALS.remove(propose)
+
+
+def _place(r: Column) -> Column:
+    """Where the key of a rule stands among the names of an object; 0 for nowhere."""
+    return F.array_position(F.coalesce(F.col("json.keys"), F.array().cast("array<string>")), r["key"])
+
+
+def _at_key(r: Column, what: str) -> Column:
+    return F.when(_place(r) > 0, F.try_element_at(F.col(f"json.{what}"), _place(r).cast("int")))
+
+
+for _plain in KINDS[:5]:
+    rule(_plain)(lambda r, c=_plain: F.col(c))
+rule("word_count_range")(lambda r: F.col("words").between(r["lo"], r["hi"]))
+rule("line_count_range")(lambda r: F.col("lines").between(r["lo"], r["hi"]))
+rule("script_subset")(lambda r: F.size(F.array_except("scripts", r["allowed"])) == 0)
+rule("parses_json")(lambda r: F.col("json.valid"))
+rule("json_key_present")(lambda r: F.col("json.object") & (_place(r) > 0))
+rule("json_key_type")(lambda r: F.col("json.object") & F.array_contains(r["allowed"], _at_key(r, "types")))
+rule("json_enum")(lambda r: F.col("json.object") & F.array_contains(r["allowed"], _at_key(r, "values")))
+
+
 def _holds(r: Column) -> Column:
-    """Whether a profiled output keeps rule ``r``; a registry of kinds as one expression."""
-    at = F.array_position(F.coalesce(F.col("json.keys"), F.array().cast("array<string>")), r["key"])
-    of = lambda name: F.try_element_at(F.col(f"json.{name}"), at.cast("int"))
-    has = F.col("json.object") & (at > 0)
-    kinds = {
-        **{k: F.col(k) for k in KINDS[:5]},
-        "word_count_range": F.col("words").between(r["lo"], r["hi"]),
-        "line_count_range": F.col("lines").between(r["lo"], r["hi"]),
-        "script_subset": F.size(F.array_except("scripts", r["allowed"])) == 0,
-        "parses_json": F.col("json.valid"),
-        "json_key_present": has,
-        "json_key_type": has & F.array_contains(r["allowed"], F.when(at > 0, of("types"))),
-        "json_enum": has & F.array_contains(r["allowed"], F.when(at > 0, of("values"))),
-    }
-    out = None
-    for k, c in kinds.items():
-        out = F.when(r["kind"] == k, c) if out is None else out.when(r["kind"] == k, c)
+    """Whether a profiled output keeps rule ``r``: one expression over all registered kinds."""
+    out = F.when(F.lit(False), F.lit(False))
+    for kind, holds in HOLDS.items():
+        out = out.when(r["kind"] == kind, holds(r))
     return F.coalesce(out, F.lit(False))
 
 
@@ -87,7 +132,8 @@ def induce(profiled: DataFrame, by: list[str]) -> DataFrame:
     if A alone makes it hard.
     """
     rules = candidates(profiled, by)
-    packed = rules.groupBy(*by).agg(F.collect_list(F.struct(*RULE)).alias("rules"))  # at most a few dozen rules of one recording
+    # At most a few dozen rules of a recording; the written table has a known size, so the planner broadcasts it while it is small.
+    packed = cut_lineage(rules.groupBy(*by).agg(F.collect_list(F.struct(*RULE)).alias("rules")))
     seen = profiled.where("arm in ('A', 'A_prime')").join(packed, by)
     kept = seen.select(*by, "arm", "n", F.explode(F.transform("rules", lambda r: F.struct(*(r[c].alias(c) for c in RULE), _holds(r).alias("ok")))).alias("r"))
     flat = kept.select(*by, "arm", "n", "r.*")
@@ -97,17 +143,22 @@ def induce(profiled: DataFrame, by: list[str]) -> DataFrame:
     return s.withColumn("tier", F.when(least >= HARD, "hard").when(least >= BAND, "band").otherwise("discarded")).withColumn("pruned", (F.col("s_base") >= HARD) & (F.col("s_decoy") < HARD))
 
 
+def in_order(broken: DataFrame) -> DataFrame:
+    """Violations as a report lists them: by falling rate, then in the order of proposal."""
+    return broken.orderBy(F.col("rate").desc(), "rule_ord", "key")
+
+
 def violations(profiled: DataFrame, contract: DataFrame, by: list[str]) -> DataFrame:
     """(by..., kind, key, n_total, n_violating, rate, examples) of hard rules that outputs of B break.
 
     Examples are the first three in pool order, cut to 160 characters; rows in
     order of rate, then of proposal, by ``rule_ord``.
     """
-    hard = contract.where("tier = 'hard'").groupBy(*by).agg(F.collect_list(F.struct(*RULE)).alias("rules"))
+    hard = cut_lineage(contract.where("tier = 'hard'").groupBy(*by).agg(F.collect_list(F.struct(*RULE)).alias("rules")))
     b = profiled.where("arm = 'B'").join(hard, by)
     flat = b.select(*by, "output", "n", "pos", F.explode(F.transform("rules", lambda r: F.struct(r["kind"].alias("kind"), r["key"].alias("key"), _holds(r).alias("ok")))).alias("r")).select(*by, "output", "n", "pos", "r.*")
     counts = flat.groupBy(*by, "kind", "key").agg(F.sum("n").alias("n_total"), F.sum(F.when(~F.col("ok"), F.col("n")).otherwise(0)).alias("n_violating")).where("n_violating > 0")
-    first = flat.where("not ok").withColumn("r", F.row_number().over(Window.partitionBy(*by, "kind", "key").orderBy("pos", "output"))).where("r <= 3")
+    first = flat.where("not ok").select(*by, "output", "pos", "kind", "key").withColumn("r", F.row_number().over(Window.partitionBy(*by, "kind", "key").orderBy("pos", "output"))).where("r <= 3")
     examples = first.groupBy(*by, "kind", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.substring("output", 1, 160).alias("o")))), lambda x: x["o"]).alias("examples"))
     null_safe = [counts[c].eqNullSafe(examples[c]) for c in [*by, "kind", "key"]]
     order = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))

@@ -82,6 +82,12 @@ def findings(flagged: DataFrame, by: list[str]) -> DataFrame:
     return flagged.where("flagged").groupBy(*by, "input_id", "stratum").agg(F.count(F.lit(1)).alias("n_channels"), F.array_join(F.array_sort(F.collect_list("channel")), ",").alias("channels"))
 
 
+def top_findings(found: DataFrame, by: list[str], top: int = 25) -> DataFrame:
+    """``findings`` with their ``place``: most channels first, then by id, the first ``top`` of each group."""
+    w = Window.partitionBy(*by).orderBy(F.col("n_channels").desc(), "input_id")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+
+
 def reading(q: float) -> Column:
     """What a best cut says in words of a code."""
     return (

@@ -15,23 +15,31 @@ def failed() -> Column:
 
 def last_write(samples: DataFrame) -> DataFrame:
     """Of each (tuple, arm) the line that stands last in its file."""
+    # By tuple alone, so that what is asked of whole tuples next moves nothing again.
     w = Window.partitionBy(*TUPLE, "arm").orderBy(F.col("line_no").desc())
-    return samples.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    return samples.repartition(*TUPLE).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def _arms(roster: tuple[str, ...]) -> Column:
+    """Arms of the roster that a group of lines has."""
+    return sum((F.max(F.when(F.col("arm") == a, 1).otherwise(0)) for a in roster[1:]), F.max(F.when(F.col("arm") == roster[0], 1).otherwise(0)))
 
 
 def tuples(samples: DataFrame, roster: tuple[str, ...] = TRIO) -> DataFrame:
     """(tuple..., complete, dead) of every tuple of the latest lines."""
-    has = [F.max(F.when(F.col("arm") == a, 1).otherwise(0)) for a in roster]
-    every = has[0]
-    for h in has[1:]:
-        every = every + h
-    return last_write(samples).groupBy(*TUPLE).agg((every == len(roster)).alias("complete"), F.count_if(failed()).alias("n_failed")).select(*TUPLE, "complete", (F.col("complete") & (F.col("n_failed") >= len(roster))).alias("dead"))
+    per = last_write(samples).groupBy(*TUPLE).agg((_arms(roster) == len(roster)).alias("complete"), F.count_if(failed()).alias("n_failed"))
+    return per.select(*TUPLE, "complete", (F.col("complete") & (F.col("n_failed") >= len(roster))).alias("dead"))
 
 
 def replayed(samples: DataFrame, roster: tuple[str, ...] = TRIO) -> DataFrame:
-    """What a resumed run keeps: the latest lines of tuples that are complete and not dead."""
-    good = tuples(samples, roster).where("complete and not dead").select(*TUPLE)
-    return last_write(samples).join(good, TUPLE, "left_semi")
+    """What a resumed run keeps: the latest lines of tuples that are complete and not dead.
+
+    One exchange by tuple serves both windows.
+    """
+    whole = Window.partitionBy(*TUPLE)
+    has = [F.max(F.when(F.col("arm") == a, 1).otherwise(0)).over(whole) for a in roster]
+    marked = last_write(samples).withColumns({"__arms": sum(has[1:], has[0]), "__failed": F.sum(F.when(failed(), 1).otherwise(0)).over(whole)})
+    return marked.where((F.col("__arms") == len(roster)) & (F.col("__failed") < len(roster))).drop("__arms", "__failed")
 
 
 def usable(samples: DataFrame) -> DataFrame:
@@ -39,15 +47,22 @@ def usable(samples: DataFrame) -> DataFrame:
     return samples.where("error is null")
 
 
+#: Messages that a recording's health names.
+MESSAGES = 5
+
+
 def health(samples: DataFrame, roster: tuple[str, ...] = TRIO) -> DataFrame:
     """Per recording: lines, errors, empty outputs, tuples, dead tuples, error rate and first messages."""
     latest = last_write(samples)
-    per_tuple = latest.groupBy(*TUPLE).agg(F.count(F.lit(1)).alias("n"), F.count_if(failed()).alias("bad"), F.count_if(F.trim("output") == "").alias("empty"), F.collect_set(F.when(failed(), F.substring("error", 1, 80))).alias("said"))
-    # At most one set of distinct messages of 80 letters per recording.
-    return per_tuple.groupBy("recording_id").agg(
-        F.sum("n").alias("samples"), F.sum("bad").alias("errored"), F.sum("empty").alias("empty"), F.count(F.lit(1)).alias("tuples"), F.count_if((F.col("bad") > 0) & (F.col("bad") == F.col("n"))).alias("dead"),
-        (F.sum("bad") / F.sum("n")).alias("error_rate"), F.array_join(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("said")))), 1, 5), "; ").alias("messages"),
+    per_tuple = latest.groupBy(*TUPLE).agg(F.count(F.lit(1)).alias("n"), F.count_if(failed()).alias("bad"), F.count_if(F.trim("output") == "").alias("empty"))
+    counts = per_tuple.groupBy("recording_id").agg(
+        F.sum("n").alias("samples"), F.sum("bad").alias("errored"), F.sum("empty").alias("empty"), F.count(F.lit(1)).alias("tuples"), F.count_if((F.col("bad") > 0) & (F.col("bad") == F.col("n"))).alias("dead"), (F.sum("bad") / F.sum("n")).alias("error_rate"),
     )
+    # Distinct messages first, then only the first ones of a recording stay together.
+    said = latest.where(failed()).select("recording_id", F.substring("error", 1, 80).alias("said")).distinct()
+    first = said.withColumn("r", F.row_number().over(Window.partitionBy("recording_id").orderBy("said"))).where(F.col("r") <= MESSAGES)
+    messages = first.groupBy("recording_id").agg(F.array_join(F.array_sort(F.collect_list("said")), "; ").alias("messages"))
+    return counts.join(messages, "recording_id", "left").withColumn("messages", F.coalesce("messages", F.lit("")))
 
 
 def planned(samples: DataFrame, k: int) -> DataFrame:
@@ -116,6 +131,22 @@ def in_flight(recordings: DataFrame, params: list[str]) -> DataFrame:
     return a.join(b, same & (F.col("a.recording_id") != F.col("b.recording_id"))).select("a.recording_id", F.col("b.recording_id").alias("other_id"))
 
 
+def decoy_independence(arms: DataFrame) -> DataFrame:
+    """(recording_id, arm, warning): reasons to doubt the repeat as a null.
+
+    ``arms``: recording_id, arm, seed, sampling_seed; null is unset.  Where A
+    and A_prime show the same seed, that is one warning, named under A; any
+    other arm whose sampling is pinned has its own.
+    """
+    shown = F.coalesce("sampling_seed", "seed")
+    of = lambda a: F.max(F.when(F.col("arm") == a, shown))
+    shared = arms.groupBy("recording_id").agg((of("A") == of("A_prime")).alias("shared")).where("shared")
+    baseline = F.col("arm").isin("A", "A_prime")
+    pinned = arms.where("sampling_seed is not null").join(shared, "recording_id", "left").where(~(F.coalesce("shared", F.lit(False)) & baseline))
+    own = pinned.select("recording_id", "arm", F.when(baseline, "pinned baseline").otherwise("pinned candidate").alias("warning"))
+    return shared.select("recording_id", F.lit("A").alias("arm"), F.lit("shared seed").alias("warning")).unionByName(own)
+
+
 def latest_labels(labels: DataFrame) -> DataFrame:
     """Of labels given more than once, the last line counts."""
     return labels.groupBy(*TUPLE).agg(F.max_by("hit", "line_no").alias("hit"))

@@ -80,7 +80,11 @@ def drift(tokens: DataFrame, by: list[str]) -> DataFrame:
 
     ``tokens``: by..., arm, word.  Two clouds without words have no drift.
     """
-    c = mode_counts(tokens, by, "word")
+    return drift_of_counts(mode_counts(tokens, by, "word"), by)
+
+
+def drift_of_counts(c: DataFrame, by: list[str]) -> DataFrame:
+    """The same of (by..., word, ca, cp, cb)."""
     part = lambda x: F.lit(1.0) - F.coalesce(F.try_divide(F.sum(F.least("ca", x)).cast("double"), F.sum(F.greatest("ca", x)).cast("double")), F.lit(1.0))
     return c.groupBy(*by).agg(part("cb").alias("drift_t"), part("cp").alias("drift_d"))
 
@@ -99,7 +103,11 @@ def centroid_distance(vectors: DataFrame, by: list[str], vector: str = "embeddin
     return s.where("aa is not null and pp is not null and bb is not null").select(*by, far("ab", "bb").alias("embedding_t"), far("ap", "pp").alias("embedding_d"))
 
 
-def gate(scores: DataFrame, recording: list[str], limit: float = 0.25) -> DataFrame:
+#: Surface drift above which an embedding says nothing about meaning.
+DRIFT_LIMIT = 0.25
+
+
+def gate(scores: DataFrame, recording: list[str], limit: float = DRIFT_LIMIT) -> DataFrame:
     """Embedding scores under the drift gate: (skipped, target, decoy).
 
     An input whose target drift exceeds ``limit`` is blocked and scores 0 for
@@ -125,6 +133,17 @@ def positional(pairs: DataFrame, by: list[str], score: str) -> DataFrame:
     return pairs.groupBy(*by).agg(F.avg(score).alias(score))
 
 
+def judged_pair(contradiction: Column, contradiction_back: Column, entailment: Column, entailment_back: Column) -> Column:
+    """STRUCT<contradiction, directional> of what a judge says of a pair in both directions: the greater contradiction, and the signed difference of entailments."""
+    return F.struct(F.greatest(contradiction, contradiction_back).alias("contradiction"), (entailment - entailment_back).alias("directional"))
+
+
+def judged_scores(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., nli_contradiction_t and _d, nli_directional_t and _d): means over pairs (by..., side, judged)."""
+    mean = lambda side, c: F.avg(F.when(F.col("side") == side, F.col(f"judged.{c}")))
+    return pairs.groupBy(*by).agg(*(mean(x, c).alias(f"nli_{c}_{x}") for c in ("contradiction", "directional") for x in "td"))
+
+
 def greedy_clusters(samples: DataFrame, by: list[str], same: Callable[[list[tuple[str, str]]], list[bool]], mode: str = "mode") -> DataFrame:
     """(by..., mode, cluster, calls): modes joined by a predicate that isn't transitive.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paritylens.functions.text import uniform
+
 #: Most rows of a catalogue that are broadcast.
 POLICIES = 1_000
 
@@ -25,11 +27,25 @@ def lookup(calls: DataFrame, entities: DataFrame, key: str, stale_status: str |
 
 def search(calls: DataFrame, events: DataFrame, key: str, low: str = "low", high: str = "high") -> DataFrame:
     """(call..., n, total) of an entity's events with low <= amount <= high; either bound may be null."""
-    inside = (F.col(low).isNull() | (F.col("amount") >= F.col(low))) & (F.col(high).isNull() | (F.col("amount") <= F.col(high)))
-    j = calls.join(events, key, "left").withColumn("__in", F.coalesce(inside & F.col("amount").isNotNull(), F.lit(False)))
+    j = calls.join(events, key, "left").withColumn("__in", F.coalesce(_inside(low, high) & F.col("amount").isNotNull(), F.lit(False)))
     return j.groupBy(*calls.columns).agg(F.count_if("__in").alias("n"), F.coalesce(F.round(F.sum(F.when(F.col("__in"), F.col("amount"))), 2), F.lit(0.0)).alias("total"))
 
 
+def _inside(low: str, high: str) -> Column:
+    return (F.col(low).isNull() | (F.col("amount") >= F.col(low))) & (F.col(high).isNull() | (F.col("amount") <= F.col(high)))
+
+
+def search_items(calls: DataFrame, events: DataFrame, key: str, order: list[str], low: str = "low", high: str = "high") -> DataFrame:
+    """(call..., n, items): the events themselves that ``search`` counts, in the order of ``order``.
+
+    A call's row holds its own events only; these are as many as the entity has.
+    """
+    rest = [c for c in events.columns if c not in (key, *order)]
+    event = F.when(F.coalesce(_inside(low, high) & F.col("amount").isNotNull(), F.lit(False)), F.struct(*order, *rest))
+    found = calls.join(events, key, "left").groupBy(*calls.columns).agg(F.array_sort(F.collect_list(event)).alias("items"))
+    return found.withColumn("n", F.size("items").cast("long"))
+
+
 def policy(calls: DataFrame, policies: DataFrame) -> DataFrame:
     """Calls with the first policy whose name holds the topic or is held by it.
 
@@ -57,6 +73,22 @@ def evaluate(principals: DataFrame, years_least: float, ratio_most: float) -> Da
     return principals.withColumn("ratio", ratio).withColumn("meets_criteria", (F.col("years_on_record") >= years_least) & (ratio <= ratio_most))
 
 
+def evaluate_first(principals: DataFrame, policies: DataFrame) -> DataFrame:
+    """Principals against the first policy by ``ordinal``: ratio, meets_criteria and the policy's name; one row is broadcast."""
+    first = policies.agg(F.min_by(F.struct("policy", "min_years_on_record", "max_ratio"), "ordinal").alias("p")).select("p.*")
+    income = F.when(F.coalesce(F.col("annual_income"), F.lit(0)) == 0, F.lit(1)).otherwise(F.col("annual_income"))
+    rated = principals.withColumn("ratio", F.round(F.col("existing_debt") / income, 4)).crossJoin(F.broadcast(first))
+    return rated.withColumn("meets_criteria", (F.col("years_on_record") >= F.col("min_years_on_record")) & (F.col("ratio") <= F.col("max_ratio"))).drop("min_years_on_record", "max_ratio")
+
+
+def history_items(principals: DataFrame, entities: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(principal..., items): what each principal owns, in the order of ``order``; an empty list for nothing."""
+    rest = [c for c in entities.columns if c not in (key, *order)]
+    own = entities.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("items"))
+    none = F.array().cast(own.schema["items"].dataType)
+    return principals.join(own, key, "left").withColumn("items", F.coalesce("items", none))
+
+
 def history(principals: DataFrame, entities: DataFrame, key: str) -> DataFrame:
     """(principal..., n_owned, total) of what each principal owns."""
     own = entities.groupBy(key).agg(F.count(F.lit(1)).alias("n_owned"), F.round(F.sum("amount"), 2).alias("total"))
@@ -80,19 +112,27 @@ def stale_view(rows: DataFrame, by: list[str], order: str, value: str) -> DataFr
     return rows.withColumn(value, F.coalesce(F.lag(value).over(w), F.col(value)))
 
 
+#: Shares of reads that the levels of degraded retrieval replace.
+DEGRADED_LADDER = (0.10, 0.20, 0.30)
+
+
 def degraded(rows: DataFrame, noise: float, seed: int, key: str, value: str) -> DataFrame:
     """Each value, with chance ``noise`` by a hash, replaced by that of another row of its bucket.
 
     The other row is the next one in hash order within 1 of 256 buckets, so
     no task sees all rows.
     """
-    from paritylens.functions.text import uniform
-
-    k = F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))
-    x = rows.withColumn("__u", uniform(k)).withColumn("__b", F.pmod(F.xxhash64(key), F.lit(256)))
-    w = Window.partitionBy("__b").orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    named = lambda *x: F.concat_ws("|", *(F.lit(p) for p in x), F.lit(str(seed)), F.col(key).cast("string"))
+    x = rows.withColumn("__u", uniform(named())).withColumn("__b", F.substring(F.sha2(named("bucket"), 256), 1, 2)).withColumn("__h", F.sha2(named("order"), 256))
+    w = Window.partitionBy("__b").orderBy("__h", key)
     other = F.coalesce(F.lead(value).over(w), F.first(value).over(w))
-    return x.withColumn("degraded", F.col("__u") < noise).withColumn(value, F.when(F.col("__u") < noise, other).otherwise(F.col(value))).drop("__u", "__b")
+    return x.withColumn("degraded", F.col("__u") < noise).withColumn(value, F.when(F.col("__u") < noise, other).otherwise(F.col(value))).drop("__u", "__b", "__h")
+
+
+def mixed_lists(rows: DataFrame, noise: float, seed: int, owner: str, item: str) -> DataFrame:
+    """(owner, items): lists in the order of their own items, a share ``noise`` of which are shown as others'."""
+    shown = degraded(rows.withColumn("__item", F.col(item)), noise, seed, item, "__item")
+    return shown.groupBy(owner).agg(F.transform(F.array_sort(F.collect_list(F.struct(item, "__item"))), lambda x: x["__item"]).alias("items"))
 
 
 def changed_calls(clean: DataFrame, faulty: DataFrame, call: list[str], result: str) -> DataFrame:

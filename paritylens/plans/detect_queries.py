@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paritylens.functions import text as X
-from paritylens.operators import conformance, diagnosis, fdr, grading, log, modes, pairings
+from paritylens.operators import diagnosis, fdr, grading, log, modes, pairings
+from paritylens.operators.conformance import KINDS
 from paritylens.plans import detect as plan
 from paritylens.plans.log_queries import LABELS, samples
 from paritylens.plans.registry import DISTANCES, LAST, MODED, SELECT, mode_sql, query, table, text_sql, words_sql
 
 BY = ["recording_id"]
+#: The pattern of refusals as SQL writes it.
+REFUSAL_SQL = X.REFUSAL.replace("'", "''")
 GROUP = ["recording_id", "channel", "eff_stratum"]
 ALL = f"WITH {MODED}{DISTANCES}{SELECT} "
 
@@ -65,13 +68,7 @@ dr AS (SELECT recording_id, input_id, 1e0 - coalesce(CAST(sum(least(ca, cb)) AS
 
 
 def _drift(spark, d):
-    kept = log.usable(log.replayed(samples(spark, d)))
-    # Words of each distinct output once, weighted by how often it was given.
-    per = kept.groupBy("recording_id", "input_id", "output").agg(*(F.count_if(F.col("arm") == a).alias(c) for a, c in (("A", "a"), ("A_prime", "p"), ("B", "b"))))
-    w = per.select("recording_id", "input_id", "a", "p", "b", F.explode(X.word_tokens(F.col("output"))).alias("word"))
-    c = w.groupBy("recording_id", "input_id", "word").agg(F.sum("a").alias("ca"), F.sum("p").alias("cp"), F.sum("b").alias("cb"))
-    part = lambda x: F.lit(1.0) - F.coalesce(F.try_divide(F.sum(F.least("ca", x)).cast("double"), F.sum(F.greatest("ca", x)).cast("double")), F.lit(1.0))
-    return c.groupBy("recording_id", "input_id").agg(part("cb").alias("drift_t"), part("cp").alias("drift_d"))
+    return plan.surface_drift(log.usable(log.replayed(samples(spark, d))), BY)
 
 
 @query(f"WITH {LAST}{DRIFT} SELECT recording_id, input_id, round(drift_t, 9) AS drift_t, round(drift_d, 9) AS drift_d, drift_t <= 0.25e0 AS allowed FROM dr")
@@ -219,16 +216,6 @@ def j4_a28_grades(spark, d):
     return _rounded(grading.grade(flagged, log.touched(table(spark, d, "activation")), BY), "realised_fdr", "recall")
 
 
-@query()
-def f3_q7_design_r(spark, d):
-    return plan.design_r(samples(spark, d))
-
-
-@query()
-def j3_orientation(spark, d):
-    return pairings.orientation(plan.design_r(samples(spark, d)), BY)
-
-
 @query(f"WITH {FOUR} SELECT recording_id, input_id, round(target, 9) AS target, round(near, 9) AS near, round(far, 9) AS far FROM fd")
 def j5_aligned_pairings(spark, d):
     s = _pairings(spark, d).where("channel = 'mode_share'").select("recording_id", "pairing", "input_id", "target", "decoy")
@@ -271,42 +258,64 @@ def a18_x20_output_profile(spark, d):
     return diagnosis.output_profile(log.usable(log.replayed(samples(spark, d))), ["recording_id", "arm"])
 
 
-@query()
-def a30_repeats(spark, d):
-    return diagnosis.repeats(log.usable(log.replayed(samples(spark, d))), ["recording_id", "input_id", "arm"])
-
-
-@query()
+#: Every kind of rule in SQL; families of writing are told by their letters, of which the log has Latin ones.
+CONTRACT = rf"""seen AS (SELECT recording_id, input_id, min(line_no) AS seen FROM usable GROUP BY ALL),
+pool AS (SELECT u.recording_id, arm, output, ROW(seen, sample_idx, line_no) AS pos, regexp_replace(output, '\s+$', '') AS tail, {words_sql('output')} AS words, json_valid(output) AS jv, coalesce(json_type(CASE WHEN json_valid(output) THEN output END) = 'OBJECT', false) AS jo,
+  CASE WHEN output = '' THEN 0 ELSE len(string_split(output, chr(10))) - CASE WHEN output LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS lines FROM usable u JOIN seen USING (recording_id, input_id) WHERE arm IN ('A', 'A_prime', 'B')),
+rng AS (SELECT recording_id, min(words) AS w0, max(words) AS w1, min(lines) AS l0, max(lines) AS l1, bool_or(regexp_matches(output, '\p{{Latin}}')) AS latin, count(DISTINCT output) FILTER (WHERE jo) AS objects FROM pool WHERE arm = 'A' GROUP BY 1),
+obj AS (SELECT DISTINCT recording_id, output FROM pool WHERE arm = 'A' AND jo),
+kv AS (SELECT recording_id, output, key, json_extract(output, '$."' || key || '"') AS v FROM (SELECT recording_id, output, unnest(json_keys(output)) AS key FROM obj)),
+kt AS (SELECT recording_id, key, CASE json_type(v) WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'DOUBLE' THEN 'float' WHEN 'NULL' THEN 'NoneType' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'dict' ELSE 'int' END AS type,
+  CASE json_type(v) WHEN 'BOOLEAN' THEN CASE WHEN CAST(v AS VARCHAR) = 'true' THEN 'True' ELSE 'False' END WHEN 'NULL' THEN 'None' ELSE json_extract_string(v, '$') END AS value FROM kv),
+ks AS (SELECT recording_id, key, count(*) AS n, count(DISTINCT type) AS types, min(type) AS type, count(DISTINCT value) AS vals, list_sort(list(DISTINCT value)) AS allowed FROM kt GROUP BY ALL),
+fit AS (SELECT ks.* FROM ks JOIN rng USING (recording_id) WHERE n = objects),
+rules AS (SELECT recording_id, kind, NULL::VARCHAR AS key, NULL::BIGINT AS lo, NULL::BIGINT AS hi, NULL::VARCHAR[] AS allowed FROM rng, (VALUES ('nonempty'), ('no_control_chars'), ('no_unicode_escape'), ('no_refusal_marker'), ('ends_with_terminator')) k(kind)
+  UNION ALL SELECT recording_id, 'word_count_range', NULL, w0, w1, NULL FROM rng UNION ALL SELECT recording_id, 'line_count_range', NULL, l0, l1, NULL FROM rng UNION ALL SELECT recording_id, 'script_subset', NULL, NULL, NULL, ['LATIN'] FROM rng WHERE latin
+  UNION ALL SELECT recording_id, 'parses_json', NULL, NULL, NULL, NULL FROM rng WHERE objects > 0 UNION ALL SELECT recording_id, 'json_key_present', key, NULL, NULL, NULL FROM fit
+  UNION ALL SELECT recording_id, 'json_key_type', key, NULL, NULL, [type] FROM fit WHERE types = 1 UNION ALL SELECT recording_id, 'json_enum', key, NULL, NULL, allowed FROM fit WHERE vals > 1 AND vals <= 6),
+pk AS (SELECT p.recording_id, p.arm, p.output, p.pos, r.kind, r.key, r.lo, r.hi, r.allowed, words, lines, tail, jv, jo, CASE WHEN jo AND r.key IS NOT NULL THEN json_extract(output, '$."' || r.key || '"') END AS v FROM pool p JOIN rules r USING (recording_id)),
+held AS (SELECT recording_id, arm, output, pos, kind, key, lo, hi, allowed, coalesce(CASE kind WHEN 'nonempty' THEN regexp_replace(output, '^\s+|\s+$', '', 'g') <> '' WHEN 'no_control_chars' THEN NOT regexp_matches(output, '[\x00-\x08\x0b\x0c\x0e-\x1f]')
+  WHEN 'no_unicode_escape' THEN NOT regexp_matches(output, '\\u[0-9a-fA-F]{{4}}') WHEN 'no_refusal_marker' THEN NOT regexp_matches(output, '(?i){REFUSAL_SQL}') WHEN 'ends_with_terminator' THEN tail <> '' AND regexp_matches(tail, '[.!?"'')\]}}…]\s*$')
+  WHEN 'word_count_range' THEN words BETWEEN lo AND hi WHEN 'line_count_range' THEN lines BETWEEN lo AND hi WHEN 'script_subset' THEN NOT regexp_matches(output, '[\p{{Greek}}\p{{Cyrillic}}\p{{Thai}}\p{{Hangul}}\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Arabic}}\p{{Hebrew}}\p{{Devanagari}}]')
+  WHEN 'parses_json' THEN jv WHEN 'json_key_present' THEN v IS NOT NULL
+  WHEN 'json_key_type' THEN list_contains(allowed, CASE json_type(v) WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'DOUBLE' THEN 'float' WHEN 'NULL' THEN 'NoneType' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'dict' ELSE CASE WHEN v IS NOT NULL THEN 'int' END END)
+  WHEN 'json_enum' THEN list_contains(allowed, CASE json_type(v) WHEN 'BOOLEAN' THEN CASE WHEN CAST(v AS VARCHAR) = 'true' THEN 'True' ELSE 'False' END WHEN 'NULL' THEN 'None' ELSE json_extract_string(v, '$') END) END, false) AS ok FROM pk),
+sup AS (SELECT recording_id, kind, key, lo, hi, allowed, coalesce(avg(CAST(ok AS INT)) FILTER (WHERE arm = 'A'), 0) AS s_base, coalesce(avg(CAST(ok AS INT)) FILTER (WHERE arm = 'A_prime'), 0) AS s_decoy FROM held WHERE arm <> 'B' GROUP BY ALL)"""
+TIER = "CASE WHEN least(s_base, s_decoy) >= 0.99 THEN 'hard' WHEN least(s_base, s_decoy) >= 0.6 THEN 'band' ELSE 'discarded' END"
+
+
+@query(f"WITH {LAST}, {CONTRACT} SELECT recording_id, kind, key, lo, hi, array_to_string(allowed, '|') AS allowed, round(s_base, 9) AS s_base, round(s_decoy, 9) AS s_decoy, {TIER} AS tier, s_base >= 0.99 AND s_decoy < 0.99 AS pruned FROM sup")
 def r1_r3_contract(spark, d):
     c, _ = plan.rules(samples(spark, d))
     return c.select("recording_id", "kind", "key", "lo", "hi", F.array_join("allowed", "|").alias("allowed"), F.round("s_base", 9).alias("s_base"), F.round("s_decoy", 9).alias("s_decoy"), "tier", "pruned")
 
 
-BASIC = rf"""pool AS (SELECT recording_id, arm, output, regexp_replace(output, '\s+$', '') AS tail, {words_sql('output')} AS words FROM usable WHERE arm IN ('A', 'A_prime', 'B')),
-rng AS (SELECT recording_id, min(words) AS lo, max(words) AS hi FROM pool WHERE arm = 'A' GROUP BY 1),
-held AS (SELECT p.recording_id, arm, v.kind, v.ok FROM pool p JOIN rng r USING (recording_id), LATERAL (VALUES ('nonempty', regexp_replace(output, '^\s+|\s+$', '', 'g') <> ''), ('no_unicode_escape', NOT regexp_matches(output, '\\u[0-9a-fA-F]{{4}}')),
-  ('ends_with_terminator', tail <> '' AND regexp_matches(tail, '[.!?"'')\]}}…]\s*$')), ('word_count_range', words BETWEEN lo AND hi)) v(kind, ok)),
-sup AS (SELECT recording_id, kind, avg(CAST(ok AS INT)) FILTER (WHERE arm = 'A') AS s_base, avg(CAST(ok AS INT)) FILTER (WHERE arm = 'A_prime') AS s_decoy FROM held GROUP BY ALL)"""
-
-
-@query(f"WITH {LAST}, {BASIC} SELECT recording_id, kind, round(s_base, 9) AS s_base, round(s_decoy, 9) AS s_decoy, CASE WHEN least(s_base, s_decoy) >= 0.99 THEN 'hard' WHEN least(s_base, s_decoy) >= 0.6 THEN 'band' ELSE 'discarded' END AS tier, s_base >= 0.99 AND s_decoy < 0.99 AS pruned FROM sup")
+@query(f"WITH {LAST}, {CONTRACT} SELECT recording_id, kind, count(*) AS n_rules, round(min(s_base), 9) AS s_base, round(min(s_decoy), 9) AS s_decoy, count(*) FILTER (WHERE {TIER} = 'hard') AS n_hard, count(*) FILTER (WHERE s_base >= 0.99 AND s_decoy < 0.99) AS n_pruned FROM sup GROUP BY ALL")
 def r2_r3_supports(spark, d):
+    """The least support of each kind of rule, and how many rules of it hold."""
     c, _ = plan.rules(samples(spark, d))
-    c = c.where("kind in ('nonempty', 'no_unicode_escape', 'ends_with_terminator', 'word_count_range')")
-    return c.select("recording_id", "kind", F.round("s_base", 9).alias("s_base"), F.round("s_decoy", 9).alias("s_decoy"), "tier", "pruned")
+    return c.groupBy("recording_id", "kind").agg(F.count(F.lit(1)).alias("n_rules"), F.round(F.min("s_base"), 9).alias("s_base"), F.round(F.min("s_decoy"), 9).alias("s_decoy"), F.count_if(F.col("tier") == "hard").alias("n_hard"), F.count_if("pruned").alias("n_pruned"))
+
+
+BROKEN = f"""b AS (SELECT h.* FROM held h JOIN sup s ON h.recording_id = s.recording_id AND h.kind = s.kind AND h.key IS NOT DISTINCT FROM s.key WHERE arm = 'B' AND {TIER} = 'hard'),
+n AS (SELECT recording_id, kind, key, count(*) AS n_total, count(*) FILTER (WHERE NOT ok) AS n_violating FROM b GROUP BY ALL),
+ex AS (SELECT recording_id, kind, key, output, min(pos) AS pos FROM b WHERE NOT ok GROUP BY ALL),
+e3 AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY recording_id, kind, key ORDER BY pos, output) <= 3),
+eg AS (SELECT recording_id, kind, key, string_agg(substr(output, 1, 160), ' | ' ORDER BY pos, output) AS examples FROM e3 GROUP BY ALL)"""
 
 
-@query(f"""WITH {LAST}, {BASIC} SELECT recording_id, kind, count(*) AS n_total, count(*) FILTER (WHERE NOT ok) AS n_violating, round(avg(CAST(NOT ok AS INT)), 9) AS rate FROM held JOIN sup USING (recording_id, kind)
-WHERE arm = 'B' AND least(s_base, s_decoy) >= 0.99 GROUP BY ALL HAVING count(*) FILTER (WHERE NOT ok) > 0""")
+@query(f"WITH {LAST}, {CONTRACT}, {BROKEN} SELECT recording_id, kind, count(*) AS n_rules, max(n_violating) AS n_violating, round(max(n_violating / n_total), 9) AS rate FROM n WHERE n_violating > 0 GROUP BY ALL")
 def r4_violations(spark, d):
+    """How many rules of each kind the candidate breaks, and how often the most broken one."""
     _, v = plan.rules(samples(spark, d))
-    return v.where("kind in ('nonempty', 'no_unicode_escape', 'ends_with_terminator', 'word_count_range')").select("recording_id", "kind", "n_total", "n_violating", F.round("rate", 9).alias("rate"))
+    return v.groupBy("recording_id", "kind").agg(F.count(F.lit(1)).alias("n_rules"), F.max("n_violating").alias("n_violating"), F.round(F.max("rate"), 9).alias("rate"))
 
 
-@query()
+@query(f"""WITH {LAST}, {CONTRACT}, {BROKEN} SELECT n.recording_id, n.kind, n.key, n_total, n_violating, round(n_violating / n_total, 9) AS rate, examples, list_position({KINDS!r}, n.kind) AS rule_ord
+FROM n JOIN eg ON n.recording_id = eg.recording_id AND n.kind = eg.kind AND n.key IS NOT DISTINCT FROM eg.key WHERE n_violating > 0""")
 def d9_r4_all_violations(spark, d):
     _, v = plan.rules(samples(spark, d))
-    return v.select("recording_id", "kind", "key", "n_total", "n_violating", F.round("rate", 9).alias("rate"), F.array_join("examples", " | ").alias("examples"), "rule_ord")
+    return v.select("recording_id", "kind", "key", "n_total", "n_violating", F.round("rate", 9).alias("rate"), F.array_join("examples", " | ").alias("examples"), F.col("rule_ord").cast("int").alias("rule_ord"))
 
 
 @query()
@@ -342,15 +351,6 @@ def u7_positional_scores(spark, d):
     return p.groupBy("recording_id", "input_id").agg(mean("t").alias("target"), mean("d").alias("decoy"))
 
 
-@query()
-def q10_drift_control(spark, d):
-    """Every recording of the log against the next one: what changed between them and within the later one."""
-    both = pairings.relabel(pairings.phases(_moded(spark, d), samples(spark, d)), pairings.DRIFT)
-    by = ["recording_id", "pairing"]
-    flagged, _, _ = plan.judged(plan.scores(both, by), by, 0.10)
-    return flagged.groupBy(*by).agg(F.countDistinct("input_id").alias("n_inputs"), F.countDistinct(F.when(F.col("flagged"), F.col("input_id"))).alias("n_flagged"))
-
-
 @query(ALL.rstrip() + """, f AS (SELECT recording_id, channel, count(*) FILTER (WHERE flagged) AS n_flagged, count(*) AS n_inputs FROM flags GROUP BY ALL)
 SELECT recording_id, channel, n_inputs, n_flagged, round(n_flagged / n_inputs, 9) AS share FROM f""")
 def q9_q11_channel_rows(spark, d):

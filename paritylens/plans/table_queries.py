@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from paritylens.functions import text as X
 from paritylens.operators import dedup, diagnosis, faults, generators, grading, judging, probes, tools
-from paritylens.plans.detect import corpus_fingerprint
+from paritylens.plans.detect import corpus_digest, corpus_fingerprint
 from paritylens.plans.log_queries import samples
 from paritylens.plans.registry import query, shape_sql, strip_sql, table, text_sql, words_sql
 
@@ -81,12 +81,17 @@ def x15_stable_hash(spark, d):
     return samples(spark, d).select("input_id", F.floor(h / F.lit(16)).cast("long").alias("h")).distinct()
 
 
-@query("""WITH h AS (SELECT sha256(CAST(msg_id AS VARCHAR) || coalesce(chr(0) || text, '') || chr(10)) AS h FROM messages), r AS (SELECT substr(h, 1, 3) AS r, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1)
-SELECT substr(sha256(string_agg(d, '' ORDER BY r)), 1, 16) AS fingerprint FROM r""")
+@query("SELECT substr(sha256(string_agg(CAST(msg_id AS VARCHAR) || coalesce(chr(0) || text, '') || chr(10), '' ORDER BY CAST(msg_id AS VARCHAR))), 1, 16) AS fingerprint FROM messages")
 def x16_fingerprint(spark, d):
     return corpus_fingerprint(table(spark, d, "messages").select(F.col("msg_id").cast("string").alias("input_id"), "text"))
 
 
+@query("""WITH h AS (SELECT sha256(CAST(msg_id AS VARCHAR) || coalesce(chr(0) || text, '') || chr(10)) AS h FROM messages), r AS (SELECT substr(h, 1, 3) AS r, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1)
+SELECT substr(sha256(string_agg(d, '' ORDER BY r)), 1, 16) AS fingerprint FROM r""")
+def x16_corpus_digest(spark, d):
+    return corpus_digest(table(spark, d, "messages").select(F.col("msg_id").cast("string").alias("input_id"), "text"), 3)
+
+
 @query("SELECT DISTINCT input_id, array_to_string(list_slice(string_split(input_id, '-'), -2, -1), '-') AS short FROM samples")
 def x19_short_ids(spark, d):
     return samples(spark, d).select("input_id", X.short_id(F.col("input_id")).alias("short")).distinct()
@@ -254,12 +259,6 @@ def a26_w8_verdicts(spark, d):
     return judging.tally(judging.verdicts(lines, ["client_id"]), ["client_id"])
 
 
-@query()
-def g16_blind_queue(spark, d):
-    p = table(spark, d, "products").select(F.col("product_id").alias("input_id"), F.lit("m1").alias("left"), F.lit("m2").alias("right"))
-    return judging.queue(p, "q").select("place", "input_id", "X", "Y")
-
-
 # -- the tool layer --------------------------------------------------------------
 
 
@@ -325,11 +324,6 @@ def j15_withdrawn_tools(spark, d):
     return tools.withdrawn(table(spark, d, "events").select(F.col("user_id").alias("input_id"), F.col("event_type").alias("tool")), ["error", "purchase"])
 
 
-@query()
-def g7_degraded_reads(spark, d):
-    return tools.degraded(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 0.3, 7, "o_orderkey", "o_totalprice")
-
-
 # -- faults and generators ----------------------------------------------------------
 
 

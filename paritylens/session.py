@@ -31,12 +31,14 @@ def local_session(cores: int | str = "*", app: str = "paritylens", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    ``spark.checkpoint.dir`` of the session names it.  Only where that setting
-    is absent (tests on one machine) a temporary folder is made, which goes
-    when the interpreter ends.
+    ``spark.checkpoint.dir`` of the session names it.  Where that setting is
+    absent, a session on one machine gets a temporary folder, which goes when
+    the interpreter ends; on a cluster it must be set.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="paritylens-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
@@ -64,8 +66,15 @@ def drop_tables(spark: SparkSession) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores.
 
-    A small table in one file would leave all work per row to one task.  A
-    table that is already in that many pieces is returned as it is.
+    A small table in one file would leave all work per row to one task.  The
+    pieces a scan will have follow from the planner's estimate of its size and
+    the number of its files; nothing is run to find out.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    conf = spark._jsparkSession.sessionState().conf()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # As a scan is cut: every file counts as if it had some bytes more.
+    padded = size + len(df.inputFiles()) * conf.filesOpenCostInBytes()
+    piece = min(conf.filesMaxPartitionBytes(), max(conf.filesOpenCostInBytes(), padded / cores))
+    return df if padded / piece > cores - 1 else df.repartition(cores)
