@@ -277,11 +277,12 @@ def near_classes(df: DataFrame, id_col: str, text: str, threshold: float = 0.8)
     narrow = records.groupBy("id", "class_key").agg(F.min("raw").alias("raw"))
     # Copies are counted per text before a class meets, so a hot class sends one row per map task.
     classes = narrow.groupBy("class_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_records"))
-    members = narrow.join(classes, "class_key")
-    # Only classes of several records have to be told which is their representative.
-    several = classes.where("n_records > 1").select("class_key", "rep")
+    # Only classes of several records have to be told which is their representative;
+    # written, their number is known, and while they are few the tokens need not move.
+    several = cut_lineage(classes.where("n_records > 1"))
+    members = narrow.join(several, "class_key", "left").withColumns({"rep": F.coalesce("rep", "id"), "n_records": F.coalesce("n_records", F.lit(1).cast("long"))})
     filled = records.where("n > 0")
-    reps = filled.join(several, "class_key", "left").where("rep is null or rep = id").select("id", "n", "tokens")
+    reps = filled.join(several.drop("n_records"), "class_key", "left").where("rep is null or rep = id").select("id", "n", "tokens")
     counters = spark.sparkContext.broadcast(_counters(filled))
     index = cut_lineage(reps.mapInArrow(_prefixes(t, counters), "token long, id long, spot long, band int, thick boolean, " + ", ".join(f"{c} long" for c in _BITS)))
     tiles = _tiles(index).repartition("tile").sortWithinPartitions("tile", "spot")
