@@ -162,11 +162,13 @@ def _prefixes(threshold: Fraction, counters):
 
 
 def _sweep(threshold: Fraction):
-    """Rows (tile, spot, side, id, s0...) sorted by tile and spot -> candidate pairs of each tile."""
+    """Rows (tile, spot, side, id, s0...) with each tile in one piece -> candidate pairs of each tile."""
     num, den, chunk = threshold.numerator, threshold.denominator, CHUNK
 
     def tile(rows: pa.Table) -> pa.RecordBatch:
-        col = lambda c: rows.column(c).to_numpy()
+        # By size within a tile.
+        order = np.lexsort((rows.column("spot").to_numpy(), rows.column("tile").to_numpy()))
+        col = lambda c: rows.column(c).to_numpy()[order]
         at = np.cumsum(np.r_[0, np.diff(col("tile")) != 0])
         n, ids, side = col("spot") >> 32, col("id"), col("side")
         # Tokens from the common one on; size of which a partner has at most.
@@ -285,7 +287,7 @@ def near_classes(df: DataFrame, id_col: str, text: str, threshold: float = 0.8)
     reps = filled.join(several.drop("n_records"), "class_key", "left").where("rep is null or rep = id").select("id", "n", "tokens")
     counters = spark.sparkContext.broadcast(_counters(filled))
     index = cut_lineage(reps.mapInArrow(_prefixes(t, counters), "token long, id long, spot long, band int, thick boolean, " + ", ".join(f"{c} long" for c in _BITS)))
-    tiles = _tiles(index).repartition("tile").sortWithinPartitions("tile", "spot")
+    tiles = _tiles(index).repartition("tile").sortWithinPartitions("tile")  # one number, so no rows are compared
     candidates = cut_lineage(tiles.mapInArrow(_sweep(t), "id_a long, id_b long").distinct())
     asked = candidates.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     sides = cut_lineage(filled.select("id", "n", "tokens").join(asked, "id", "left_semi").dropDuplicates(["id"]))
