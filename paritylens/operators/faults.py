@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -127,3 +129,56 @@ def prompt_regression(calls: DataFrame, regime: str, share: float, seed: int, ce
 def prompt_edit(lines: Column, add: list[str], remove: list[str]) -> Column:
     """Lines of a prompt without those of ``remove`` and with ``add`` after them."""
     return F.concat(F.filter(lines, lambda x: ~x.isin(remove)) if remove else lines, F.array(*(F.lit(a) for a in add)).cast("array<string>"))
+
+
+#: Ceilings of the lines that an edit of each rung adds and removes.
+LADDER = {1: (1, 1), 2: (2, 3), 3: (9, 23)}
+
+
+@dataclass(frozen=True)
+class PromptEdit:
+    """A change of a prompt's lines, by how much it may grow: its rung is a third of the severity each."""
+
+    name: str
+    rung: int
+    added: int
+    removed: int
+    apply: Callable[[Column], Column]
+    evidence: str = ""
+
+    @property
+    def severity(self) -> float:
+        return self.rung / 3
+
+
+#: Edits by name.
+PROMPT_EDITS: dict[str, PromptEdit] = {}
+
+
+def register_edit(edit: PromptEdit) -> PromptEdit:
+    """Add an edit to the catalogue; one that outgrows its rung, or whose name is taken, is refused."""
+    most_added, most_removed = LADDER[edit.rung]
+    if edit.added > most_added or edit.removed > most_removed:
+        raise ValueError(f"{edit.name}: +{edit.added}/-{edit.removed} lines exceeds rung {edit.rung} (+{most_added}/-{most_removed})")
+    if edit.name in PROMPT_EDITS:
+        raise ValueError(f"{edit.name} is in the catalogue")
+    PROMPT_EDITS[edit.name] = edit
+    return edit
+
+
+def edited(prompts: DataFrame, lines: str = "lines") -> DataFrame:
+    """Prompts once for every edit of the catalogue: name, severity, lines, n_added, n_removed, and whether it holds its rung."""
+    cells = [F.struct(F.lit(e.name).alias("name"), F.lit(e.severity).alias("severity"), e.apply(F.col(lines)).alias("after"), F.lit(LADDER[e.rung][0]).alias("a"), F.lit(LADDER[e.rung][1]).alias("r")) for e in PROMPT_EDITS.values()]
+    x = prompts.withColumn("__e", F.explode(F.array(*cells)))
+    gone, new = F.size(F.array_except(lines, "__e.after")), F.size(F.array_except("__e.after", lines))
+    return x.select(*prompts.columns, F.col("__e.name").alias("edit"), F.col("__e.severity").alias("severity"), F.col("__e.after").alias("after"), new.alias("n_added"), gone.alias("n_removed"), ((new <= F.col("__e.a")) & (gone <= F.col("__e.r"))).alias("holds"))
+
+
+def _appended(*lines: str) -> Callable[[Column], Column]:
+    return lambda x: prompt_edit(x, list(lines), [])
+
+
+register_edit(PromptEdit("line_injected", 1, 1, 0, _appended("Mention that the team reviews its procedures this quarter.")))
+register_edit(PromptEdit("last_line_dropped", 1, 0, 1, lambda x: F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))))
+register_edit(PromptEdit("lines_resurrected", 2, 2, 0, _appended("Close with a note that this is provisional.", "Address the reader formally.")))
+register_edit(PromptEdit("first_lines_dropped", 2, 0, 3, lambda x: F.slice(x, 4, F.greatest(F.size(x) - 3, F.lit(0)))))

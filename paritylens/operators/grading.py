@@ -38,8 +38,8 @@ def gradable(rates: DataFrame, q: float) -> DataFrame:
     return rates.withColumn("floor", F.lit(least)).withColumn("gradable", F.col("n_fired") >= least).withColumn("advised", F.when(F.col("rate") > 0, F.floor(F.lit(float(least)) / F.col("rate"))))
 
 
-def titration(rows: DataFrame) -> DataFrame:
+def titration(rows: DataFrame, by: list[str] = ()) -> DataFrame:
     """Adds ``falls`` where recall drops by more than 0.05 from one severity of a fault to the next; no recall counts as 0."""
     r = F.coalesce("recall", F.lit(0.0))
-    before = F.lag(r).over(Window.partitionBy("fault").orderBy("severity"))
+    before = F.lag(r).over(Window.partitionBy(*by, "fault").orderBy("severity"))
     return rows.withColumn("falls", F.coalesce(r < before - 0.05, F.lit(False)))

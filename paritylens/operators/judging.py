@@ -9,16 +9,17 @@ from pyspark.sql.window import Window
 from paritylens.functions.text import stable_hash
 
 
-def queue(cases: DataFrame, seed: str) -> DataFrame:
-    """Cases in the order of a hash, the side of each model by another: (place, input_id, X, Y).
+def queue(cases: DataFrame, seed: str, by: list[str] = ()) -> DataFrame:
+    """Cases in the order of a hash, the side of each model by another: (by..., place, input_id, X, Y).
 
     Not the order that a seeded shuffle gives, but as fixed.  A queue is what
-    one person reads, so its place is counted in one task.
+    one person reads, so the places of one are counted in one task.
     """
+    by = list(by)
     h = stable_hash(F.lit(seed), F.col("input_id"))
     side = F.pmod(stable_hash(F.lit(seed + "/side"), F.col("input_id")), F.lit(2)) == 0
-    x = cases.select("input_id", F.when(side, F.col("left")).otherwise(F.col("right")).alias("X"), F.when(side, F.col("right")).otherwise(F.col("left")).alias("Y"), h.alias("h"))
-    return x.withColumn("place", F.row_number().over(Window.orderBy("h", "input_id"))).drop("h")
+    x = cases.select(*by, "input_id", F.when(side, F.col("left")).otherwise(F.col("right")).alias("X"), F.when(side, F.col("right")).otherwise(F.col("left")).alias("Y"), h.alias("h"))
+    return x.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("h", "input_id"))).drop("h")
 
 
 def verdicts(lines: DataFrame, by: list[str]) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paritylens.operators import diagnosis, fdr, judging, log, modes, pairings, tools
+from paritylens.operators import diagnosis, faults, fdr, generators, judging, log, modes, pairings, simulation, tools
 from paritylens.plans import detect as plan
-from paritylens.plans.log_queries import K, samples
+from paritylens.plans import studies
+from paritylens.plans.log_queries import K, LABELS, samples
 from paritylens.plans.registry import DISTANCES, LAST, MODED, SELECT, mode_sql, query, shape_sql, table
 
 BY = ["recording_id"]
@@ -226,3 +227,99 @@ def g7_mixed_lists(spark, d):
 @query("SELECT level, noise FROM (VALUES (1, 0.1e0), (2, 0.2e0), (3, 0.3e0)) v(level, noise)")
 def g7_severity_ladder(spark, d):
     return spark.createDataFrame([(i + 1, x) for i, x in enumerate(tools.DEGRADED_LADDER)], "level int, noise double")
+
+
+# -- studies ---------------------------------------------------------------------------
+
+_HASH = plan.config_hash({"predicate": "exact-match"}, {"k": K, "q": 0.1}, "samples")
+
+
+@query(f"""WITH {MODED}{DISTANCES}{SELECT}, {LABELS}, f AS (SELECT recording_id, channel, flagged, coalesce(fired, false) AS fired FROM flags LEFT JOIN fired USING (recording_id, input_id)),
+m AS (SELECT recording_id, channel, count(*) AS n_inputs, count(*) FILTER (WHERE flagged) AS n_flagged, count(*) FILTER (WHERE fired) AS n_fired, count(*) FILTER (WHERE flagged AND fired) AS tp FROM f GROUP BY ALL)
+SELECT *, round((n_flagged - tp) / nullif(n_flagged, 0), 9) AS realised_fdr, round(tp / nullif(n_fired, 0), 9) AS recall, 'r1' AS run_id, '{_HASH}' AS config_hash FROM m""")
+def q9_graded_matrix(spark, d):
+    m = studies.graded_matrix(samples(spark, d), table(spark, d, "activation"), {"run_id": "r1", "config_hash": _HASH})
+    return m.withColumn("realised_fdr", F.round("realised_fdr", 9)).withColumn("recall", F.round("recall", 9))
+
+
+@query(f"WITH {MODED}{DISTANCES}, {LABELS} SELECT recording_id, channel, input_id, coalesce(fired, false) AS fired, round(target, 9) AS target, round(decoy, 9) AS decoy FROM sc LEFT JOIN fired USING (recording_id, input_id)")
+def q11_diagnosis_rows(spark, d):
+    return studies.diagnosis_rows(samples(spark, d), table(spark, d, "activation")).withColumn("target", F.round("target", 9)).withColumn("decoy", F.round("decoy", 9))
+
+
+_CELLS = [("refusal", 0.5), ("refusal", 1.0), ("verbosity", 1.0)]
+_VALUES = ", ".join(f"('{n}', {s}e0, '{faults.cell_id('F', n, s, 'B2')}', '{faults.REFUSAL_TEXT.replace(chr(39), chr(39) * 2) if n == 'refusal' else faults.PREAMBLE}')" for n, s in _CELLS)
+TITRATED = f"""{LAST}, cl AS (SELECT * FROM (VALUES {_VALUES}) v(fault, severity, cell, said)),
+inj AS (SELECT recording_id || '|' || fault || '|' || severity AS recording_id, input_id, arm, sample_idx, ord, line_no, output AS raw, fault, said,
+  arm = 'B' AND trim(output) <> '' AND CAST('0x' || substr(sha256('3|' || cell || '|' || input_id), 1, 8) AS BIGINT) / 4294967295e0 < 0.5e0 AS hit FROM usable, cl),
+outp AS (SELECT *, CASE WHEN NOT hit THEN raw WHEN fault = 'refusal' THEN said ELSE said || raw END AS output FROM inj),
+moded AS (SELECT recording_id, input_id, arm, sample_idx, ord, line_no, output, {mode_sql('output')} AS mode, {shape_sql('output')} AS shape FROM outp)"""
+
+
+@query(f"""WITH {TITRATED}{DISTANCES}{SELECT}, t AS (SELECT recording_id, input_id, bool_or(hit) AS fired FROM inj GROUP BY ALL), f AS (SELECT DISTINCT recording_id, input_id FROM flags WHERE flagged),
+g AS (SELECT t.recording_id, count(f.input_id) AS n_flagged, count(*) FILTER (WHERE fired) AS n_fired, count(f.input_id) FILTER (WHERE fired) AS tp FROM t LEFT JOIN f ON f.recording_id = t.recording_id AND f.input_id = t.input_id GROUP BY 1)
+SELECT split_part(recording_id, '|', 1) AS recording_id, split_part(recording_id, '|', 2) AS fault, CAST(split_part(recording_id, '|', 3) AS DOUBLE) AS severity, n_flagged, n_fired, tp, round(tp / nullif(n_fired, 0), 9) AS recall FROM g""")
+def q12_titration(spark, d):
+    t = studies.titrate(samples(spark, d), _CELLS, 0.10, 0.5, 3)
+    return t.select("recording_id", "fault", "severity", "n_flagged", "n_fired", "tp", F.round("recall", 9).alias("recall"))
+
+
+@query(f"""WITH {DESIGN}{DISTANCES}{SELECT}, {FOUND}, i AS (SELECT DISTINCT recording_id, input_id FROM fnd), h AS (SELECT *, substr(sha256('c|' || input_id), 1, 16) AS h, substr(sha256('c/side|' || input_id), 16, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS side FROM i)
+SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY h, input_id) AS place, input_id, CASE WHEN side THEN 'A' ELSE 'B' END AS "X", CASE WHEN side THEN 'B' ELSE 'A' END AS "Y" FROM h""")
+def q13_campaign_queue(spark, d):
+    return studies.campaign_queue(samples(spark, d), "c").select("recording_id", F.col("place").cast("long").alias("place"), "input_id", "X", "Y")
+
+
+# -- generators and the catalogue of prompt edits ---------------------------------------
+
+
+@query("SELECT name AS edit, round(rung / 3e0, 9) AS severity, rung FROM (VALUES ('line_injected', 1), ('last_line_dropped', 1), ('lines_resurrected', 2), ('first_lines_dropped', 2)) v(name, rung)")
+def u11_prompt_edits(spark, d):
+    return spark.createDataFrame([(e.name, round(e.severity, 9), e.rung) for e in faults.PROMPT_EDITS.values()], "edit string, severity double, rung int")
+
+
+@query(r"""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, l, 'last_line_dropped' AS edit, list_slice(l, 1, greatest(len(l) - 1, 0)) AS a FROM p UNION ALL
+SELECT doc_id, l, 'first_lines_dropped', list_slice(l, 4, len(l)) FROM p)
+SELECT doc_id, edit, len(list_distinct(list_filter(l, lambda x: NOT list_contains(a, x)))) AS n_removed FROM e""")
+def u11_edited_prompts(spark, d):
+    """What two of the edits take from the lines of every document."""
+    p = table(spark, d, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
+    return faults.edited(p).where("edit in ('last_line_dropped', 'first_lines_dropped')").select("doc_id", "edit", F.col("n_removed").cast("long").alias("n_removed"))
+
+
+@query("""WITH t AS (SELECT range AS i, CASE range % 3 WHEN 0 THEN 'lookup' WHEN 1 THEN 'policy' ELSE 'mixed' END AS kind, (SELECT list(product_id ORDER BY product_id) FROM products) AS p, (SELECT list(client_id ORDER BY client_id) FROM clients) AS c FROM range(5000))
+SELECT 'sales-' || kind || '-' || printf('%03d', i) AS input_id, kind, CASE kind WHEN 'lookup' THEN 'What is the status of ' || p[i % len(p) + 1] || '?' WHEN 'policy' THEN 'What holds for ' || c[i % len(c) + 1] || '?'
+  ELSE 'For ' || c[i % len(c) + 1] || ', what of ' || p[i % len(p) + 1] || '?' END AS text, 'user' || i % 7 AS principal FROM t""")
+def g12_corpus(spark, d):
+    """Requests about the products and clients, which are two fixed lists."""
+    ids = lambda name, c: [r[0] for r in table(spark, d, name).select(c).orderBy(c).collect()]
+    templates = [("lookup", "What is the status of {product}?"), ("policy", "What holds for {client}?"), ("mixed", "For {client}, what of {product}?")]
+    return generators.corpus(spark, templates, {"product": ids("products", "product_id"), "client": ids("clients", "client_id")}, 5000, "sales", users=7)
+
+
+_SEEDS = "SELECT product_id AS seed_id, designation AS subject, CAST(row_number() OVER (ORDER BY product_id) AS VARCHAR) AS number FROM products"
+
+
+@query(f"""WITH s AS ({_SEEDS}), x AS (SELECT *, shape, category FROM s, (VALUES ('short'), ('steps')) v(shape), (VALUES ('same'), ('number'), ('register')) c(category)),
+r AS (SELECT *, CASE shape WHEN 'short' THEN subject || ': ' || number ELSE '1. ' || subject || chr(10) || '2. ' || number END AS a, CASE shape WHEN 'short' THEN CASE category WHEN 'register' THEN 'dear ' || subject ELSE subject END || ': ' || CASE category WHEN 'number' THEN number || '0' ELSE number END
+  ELSE '1. ' || CASE category WHEN 'register' THEN 'dear ' || subject ELSE subject END || chr(10) || '2. ' || CASE category WHEN 'number' THEN number || '0' ELSE number END END AS b FROM x)
+SELECT seed_id, shape, category, CASE category WHEN 'same' THEN 'PRESERVING' WHEN 'number' THEN 'BREAKING' ELSE 'REGISTER' END AS relation, a, b FROM r""")
+def g13_factorial(spark, d):
+    w = Window.orderBy("product_id")  # a fixed list of 72
+    seeds = table(spark, d, "products").select(F.col("product_id").alias("seed_id"), F.col("designation").alias("subject"), F.row_number().over(w).cast("string").alias("number"))
+    edits = {"same": ("PRESERVING", {}), "number": ("BREAKING", {"number": F.concat("number", F.lit("0"))}), "register": ("REGISTER", {"subject": F.concat(F.lit("dear "), "subject")})}
+    return generators.factorial(seeds, {"short": "{subject}: {number}", "steps": "1. {subject}\n2. {number}"}, edits)
+
+
+@query()
+def g11_pack_entities(spark, d):
+    """Entities of an invented domain with their owners and events; no SQL, as a pack is no function of a table."""
+    p = generators.pack(spark, {"principal": "AP", "entity": "AC", "names": ["Ada", "Ben", "Cleo"], "statuses": ["open", "held", "closed"], "products": ["basic", "plus"], "documents": ["id", "bill"]}, 5000)
+    n = p["events"].groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_events"), F.sum("amount").alias("amount"))
+    return p["entities"].join(p["principals"].select(F.col("id").alias("principal_id"), "name"), "principal_id").join(n, F.col("id") == F.col("entity_id")).drop("entity_id")
+
+
+@query()
+def g15_null_design_blocks(spark, d):
+    """All nine blocks of simulated cells, 50 repetitions each."""
+    return simulation.summary(simulation.cells(spark, reps=50))
