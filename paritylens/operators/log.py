@@ -15,9 +15,9 @@ def failed() -> Column:
 
 def last_write(samples: DataFrame) -> DataFrame:
     """Of each (tuple, arm) the line that stands last in its file."""
-    # By tuple alone, so that what is asked of whole tuples next moves nothing again.
+    # By input, so that what is asked of tuples and of inputs next moves nothing again.
     w = Window.partitionBy(*TUPLE, "arm").orderBy(F.col("line_no").desc())
-    return samples.repartition(*TUPLE).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    return samples.repartition("recording_id", "input_id").withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
 def _arms(roster: tuple[str, ...]) -> Column:
@@ -34,7 +34,7 @@ def tuples(samples: DataFrame, roster: tuple[str, ...] = TRIO) -> DataFrame:
 def replayed(samples: DataFrame, roster: tuple[str, ...] = TRIO) -> DataFrame:
     """What a resumed run keeps: the latest lines of tuples that are complete and not dead.
 
-    One exchange by tuple serves both windows.
+    One exchange by input serves both windows, and the clouds of inputs after them.
     """
     whole = Window.partitionBy(*TUPLE)
     has = [F.max(F.when(F.col("arm") == a, 1).otherwise(0)).over(whole) for a in roster]

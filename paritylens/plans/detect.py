@@ -8,6 +8,7 @@ import json
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paritylens.functions import text as X
 from paritylens.operators import conformance, fdr, log, modes, pairings
@@ -20,10 +21,12 @@ PARTITION_CHANNELS = ["mode_share", "dispersion", "novel_mode"]
 def with_modes(samples: DataFrame, roster: tuple[str, ...] = TRIO) -> DataFrame:
     """Usable samples of replayed tuples with mode and shape.
 
-    Text work is done where the sample is: a join on the text would gather all
-    samples of a frequent answer in one task.
+    Text work is done where the line is read: a join on the text would gather
+    all samples of a frequent answer in one task, and Python after the
+    exchange by input would hide from the planner that inputs are together.
     """
-    return log.usable(log.replayed(samples, roster)).withColumns({"mode": X.normalise(F.col("output")), "shape": X.shape(F.col("output"))})
+    said = F.when(F.col("error").isNull(), F.col("output"))
+    return log.usable(log.replayed(samples.withColumns({"mode": X.normalise(said), "shape": X.shape(said)}), roster))
 
 
 def scores(moded: DataFrame, by: list[str]) -> DataFrame:
@@ -35,8 +38,13 @@ def scores(moded: DataFrame, by: list[str]) -> DataFrame:
 
 
 def judged(scored: DataFrame, by: list[str], q: float, least: int = fdr.MIN_STRATUM) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(flagged scores, selections, best cuts) per recording, channel and effective stratum."""
+    """(flagged scores, selections, best cuts) per recording, channel and effective stratum.
+
+    The scores, one row per input and channel, are written once; cuts,
+    selections and flags are made of that table and not of the log again.
+    """
     group = [*by, "channel", "eff_stratum"]
+    scored = cut_lineage(scored)
     eff = fdr.effective_strata(scored, [*by, "channel"], least)
     table = fdr.cuts(eff, group)
     sel = fdr.select(table, eff, group, q)
@@ -132,9 +140,8 @@ def design_r(samples: DataFrame, q: float = 0.10) -> DataFrame:
 
 def pools(samples: DataFrame) -> DataFrame:
     """(recording_id, arm, output, pos): outputs in the order of first seen inputs, then of samples."""
-    kept = log.usable(log.replayed(samples))
-    first = kept.groupBy("recording_id", "input_id").agg(F.min("line_no").alias("seen"))
-    return kept.join(first, ["recording_id", "input_id"]).select("recording_id", "arm", "output", F.struct("seen", "sample_idx", "line_no").alias("pos"))
+    kept = log.usable(log.replayed(samples)).withColumn("seen", F.min("line_no").over(Window.partitionBy("recording_id", "input_id")))
+    return kept.select("recording_id", "arm", "output", F.struct("seen", "sample_idx", "line_no").alias("pos"))
 
 
 def rules(samples: DataFrame) -> tuple[DataFrame, DataFrame]:

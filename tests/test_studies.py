@@ -121,7 +121,7 @@ def test_a_recording_that_holds_nearly_all_rows(spark):
     assert h["hot"].samples == 5400 and h["hot"].messages.count(";") <= 4
     moded = plan.with_modes(s)
     assert moded.count() == log.usable(log.replayed(s)).count()
-    # One shuffle by tuple serves the last write, the arms and the failures.
+    # One shuffle by input serves the last write, the arms and the failures.
     text = log.replayed(s)._jdf.queryExecution().toString()
     assert text[text.index("Physical Plan") :].count("Exchange hashpartitioning") == 1
 
