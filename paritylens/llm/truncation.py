@@ -231,19 +231,21 @@ def endings(df: DataFrame, id_col: str, text: str, source: str | Column, done: s
     decided = decided.when((F.col("n_chars") == F.col("n_chars_limit")) | (F.col("n_bytes") == F.col("n_bytes_limit")), "at the limit of its source").when(F.col("closed"), "").when(F.col("value").isNull() & F.col("signed"), "")
     judged = judged.withColumn("why", decided)
     settled = judged.where("why is not null").select("id", "source", "reason", "why")
-    rest = judged.where("why is null").select("id", "source", "reason", "place", "shape", "value", "ending", F.expr("right(ending, 2)").alias("ending2"))
-    rest = rest.join(value_share, "value", "left").join(three, "ending", "left").join(two, "ending2", "left").join(ends, ["place", "shape"], "left").join(goes_on, ["place", "shape"], "left")
+    rest = judged.where("why is null").select("id", "source", "reason", "place", "shape", "value", "ending")
+    # Rows without a key to look up are settled before the joins, so none of them gathers at a null.
+    plain = rest.where("value = '' or (value is null and shape is null)").withColumn("why", F.when(F.col("value") == "", "item incomplete").otherwise("sentence open"))
     reported = F.coalesce(F.col("reason").isin(LIMIT_REASONS), F.lit(False))
+    items = rest.where("value <> ''").join(value_share, "value", "left").withColumn("common", F.coalesce("value_share", F.lit(0.0)) >= VALUE_SHARE)
+    unnamed = items.where("ending is null").withColumn("why", F.when(F.col("common"), "").otherwise("item incomplete"))
+    named = items.where("ending is not null").withColumn("ending2", F.expr("right(ending, 2)")).join(three, "ending", "left").join(two, "ending2", "left")
     share2, share3 = F.coalesce("share2", F.lit(0.0)), F.coalesce("share3", F.lit(0.0))
-    item = (
-        F.when((F.col("value") == "") | (F.coalesce("value_share", F.lit(0.0)) < VALUE_SHARE), "item incomplete")
-        .when(F.col("ending").isNotNull() & (((share2 < ENDING_SHARE) & (share3 < RARE_ENDING_SHARE)) | (reported & (share3 < RARE_ENDING_SHARE))), "word of an item incomplete")
-        .otherwise("")
-    )
+    odd = ((share2 < ENDING_SHARE) & (share3 < RARE_ENDING_SHARE)) | (reported & (share3 < RARE_ENDING_SHARE))
+    named = named.withColumn("why", F.when(~F.col("common"), "item incomplete").when(odd, "word of an item incomplete").otherwise(""))
     ended = F.coalesce(F.col("ends"), F.lit(0))
     usual = (ended >= LEAST_ENDS) & (ended > F.coalesce(F.col("goes_on"), F.lit(0)))
-    verdict = F.when(F.col("value").isNotNull(), item).when(F.col("shape").isNotNull() & usual, "").otherwise("sentence open")
-    rest = rest.select("id", "source", "reason", verdict.alias("why"))
+    shaped = rest.where("value is null and shape is not null").join(ends, ["place", "shape"], "left").join(goes_on, ["place", "shape"], "left").withColumn("why", F.when(usual, "").otherwise("sentence open"))
+    columns = ["id", "source", "reason", "why"]
+    rest = plain.select(*columns).unionByName(unnamed.select(*columns)).unionByName(named.select(*columns)).unionByName(shaped.select(*columns))
     return settled.unionByName(rest).select("id", "source", (F.col("why") != "").alias("cut"), F.nullif("why", F.lit("")).alias("why"))
 
 
