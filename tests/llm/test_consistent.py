@@ -73,3 +73,9 @@ def test_a_hot_text_hides_no_pair_of_other_texts(spark, monkeypatch):
     place = {i: sum(texts[j] == t for j in texts if j < i) for i, t in texts.items()}
     want = {(a, b) for a, b in itertools.combinations(texts, 2) if texts[a] != texts[b] and min(place[a], place[b]) <= 3}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_every_copy_of_a_hot_text_meets_the_other_one(spark):
+    texts = {**{i: "Café Bar" for i in range(1, 71)}, 100: "Café Bar"}
+    df = spark.createDataFrame([("t", i, t) for i, t in texts.items()], "tbl string, id long, text string")
+    assert sorted((r.id_a, r.id_b) for r in C.lookalike_pairs(df, ["tbl"], "id", "text").collect()) == [(i, 100) for i in range(1, 71)]
