@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -147,30 +148,46 @@ def judged_scores(pairs: DataFrame, by: list[str]) -> DataFrame:
 def greedy_clusters(samples: DataFrame, by: list[str], same: Callable[[list[tuple[str, str]]], list[bool]], mode: str = "mode") -> DataFrame:
     """(by..., mode, cluster, calls): modes joined by a predicate that isn't transitive.
 
-    Distinct modes come by falling count, then by text; each is compared with
-    the representatives so far and joins the first that matches.  A cloud of
-    one input is the unit; only its distinct modes reach the function.
+    Distinct modes come by falling count, then by text; each belongs to the
+    first representative that matches it, or is one itself.  ``calls`` counts
+    the comparisons of each mode with the representatives before it.  Only the
+    distinct modes of one cloud are in one place.
     """
     counts = samples.groupBy(*by, F.col(mode).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "mode"], ascending=[False, True], kind="stable")
-        reps: list[str] = []
-        labels, calls = [], 0
-        for m in pdf["mode"]:
-            hit = None
-            if reps:
-                answers = same([(r, m) for r in reps])
-                calls += len(reps)
-                hit = next((i for i, yes in enumerate(answers) if yes), None)
-            if hit is None:
-                reps.append(m)
-                hit = len(reps) - 1
-            labels.append(reps[hit])
-        return pdf[by].assign(mode=pdf["mode"], cluster=labels, calls=calls)
+    def run(cloud: pa.Table) -> pa.Table:
+        cloud = cloud.sort_by([("n", "descending"), ("mode", "ascending")])
+        texts = cloud.column("mode").to_pylist()
+        owner = np.full(len(texts), -1)
+        # Who stands first among those without an owner represents what matches it of the rest.
+        while (free := np.flatnonzero(owner < 0)).size:
+            lead, rest = free[0], free[1:]
+            owner[lead] = lead
+            if rest.size:
+                owner[rest[np.array(same([(texts[lead], texts[i]) for i in rest]), bool)]] = lead
+        leads = owner == np.arange(len(texts))
+        calls = int((np.cumsum(leads) - leads).sum())
+        out = {c: cloud.column(c) for c in by} | {"mode": cloud.column("mode"), "cluster": pa.array([texts[i] for i in owner], pa.string()), "calls": pa.array([calls] * len(texts), pa.int32())}
+        return pa.table(out)
 
     kinds = {f.name: f.dataType.simpleString() for f in counts.schema.fields}
-    return counts.groupBy(*by).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", mode string, cluster string, calls int")
+    return counts.groupBy(*by).applyInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", mode string, cluster string, calls int")
+
+
+def clustered_distances(samples: DataFrame, by: list[str], same: Callable[[list[tuple[str, str]]], list[bool]]) -> DataFrame:
+    """``distances`` where a predicate joins modes: clusters of (A, B) give the target, those of (A, A') the decoy.
+
+    (by..., mode_share_t and _d, dispersion_t and _d, novel_mode_t and _d); clouds of one pair share their clusters.
+    """
+    out = None
+    for arm, side in (("B", "t"), ("A_prime", "d")):
+        pair = samples.where(F.col("arm").isin("A", arm))
+        labelled = pair.join(greedy_clusters(pair, by, same), [*by, "mode"]).withColumn("mode", F.col("cluster"))
+        # The other arm plays both parts, so the target of the pair is its distance.
+        twice = labelled.withColumn("arm", F.explode(F.when(F.col("arm") == "A", F.array(F.lit("A"))).otherwise(F.array(F.lit("A_prime"), F.lit("B")))))
+        one = distances(mode_counts(twice, by), by).select(*by, *(F.col(f"{c}_t").alias(f"{c}_{side}") for c in ("mode_share", "dispersion", "novel_mode")))
+        out = one if out is None else out.join(one, by)
+    return out
 
 
 def costs(counts: DataFrame, by: list[str]) -> DataFrame:

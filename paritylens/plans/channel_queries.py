@@ -87,6 +87,18 @@ def d8_top_findings(spark, d):
     return fdr.top_findings(found, BY).withColumn("place", F.col("place").cast("long"))
 
 
+@query(f"""WITH {MODED.replace("moded AS", "moded0 AS")}, moded AS (SELECT * REPLACE (regexp_replace(lower(mode), '[0-9]+', '#', 'g') AS mode) FROM moded0){DISTANCES}
+SELECT recording_id, input_id, round(mode_share_t, 9) AS mode_share_t, round(mode_share_d, 9) AS mode_share_d, round(dispersion_t, 9) AS dispersion_t, round(dispersion_d, 9) AS dispersion_d, round(novel_mode_t, 9) AS novel_mode_t, round(novel_mode_d, 9) AS novel_mode_d FROM dist""")
+def u4_clustered_distances(spark, d):
+    """Distances over clusters of a predicate: the same but for case and numbers."""
+    import re
+
+    plain = lambda x: re.sub("[0-9]+", "#", x.lower())
+    m = plan.with_modes(samples(spark, d)).where("arm in ('A', 'A_prime', 'B')")
+    w = modes.clustered_distances(m, ["recording_id", "input_id"], lambda pairs: [plain(a) == plain(b) for a, b in pairs])
+    return w.select("recording_id", "input_id", *(F.round(c, 9).alias(c) for c in w.columns if c not in ("recording_id", "input_id")))
+
+
 # -- several pairings -------------------------------------------------------------
 
 
@@ -323,3 +335,15 @@ def g11_pack_entities(spark, d):
 def g15_null_design_blocks(spark, d):
     """All nine blocks of simulated cells, 50 repetitions each."""
     return simulation.summary(simulation.cells(spark, reps=50))
+
+
+@query(f"""WITH {MODED}{DISTANCES}{SELECT}, ln AS (SELECT recording_id, string_agg('  ' || channel || ' [' || eff_stratum || ']: ' || n_discoveries || ' flagged, ' || CASE WHEN estimate IS NULL THEN 'no inputs' WHEN n_discoveries > 0 THEN 'flagged' WHEN separated THEN 'under the floor' WHEN estimate < 0.5e0 THEN 'partly separated' ELSE 'no separation' END, chr(10) ORDER BY channel, eff_stratum) AS l
+  FROM sel LEFT JOIN best USING (recording_id, channel, eff_stratum) GROUP BY 1),
+f AS (SELECT recording_id, input_id, count(*) AS n_channels, string_agg(channel, ',' ORDER BY channel) AS channels FROM flags WHERE flagged GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY n_channels DESC, input_id) AS place FROM f),
+fs AS (SELECT recording_id, count(*) AS n, string_agg('  ' || input_id || ' (' || channels || ')', chr(10) ORDER BY place) FILTER (WHERE place <= 25) AS t FROM p GROUP BY 1)
+SELECT recording_id, coalesce(n, 0) || ' inputs flagged at q = 0.1' || CASE WHEN n IS NULL THEN chr(10) || 'nothing can be reported below 10 inputs' ELSE '' END || chr(10) || 'checks' || chr(10) || l || CASE WHEN n IS NULL THEN '' ELSE chr(10) || 'findings' || chr(10) || t || CASE WHEN n > 25 THEN chr(10) || '  and ' || (n - 25) || ' more' ELSE '' END END AS text
+FROM ln LEFT JOIN fs USING (recording_id)""")
+def q15_report_text(spark, d):
+    """The report of every recording as text; its lists are cut at 25 findings."""
+    flagged, sel, best = plan.judged(plan.scores(plan.with_modes(samples(spark, d)), BY), BY, 0.10)
+    return plan.report_text(plan.report(flagged, sel, best, BY, 0.10), BY)

@@ -10,11 +10,9 @@ from paritylens.operators import diagnosis, fdr, grading, log, modes, pairings
 from paritylens.operators.conformance import KINDS
 from paritylens.plans import detect as plan
 from paritylens.plans.log_queries import LABELS, samples
-from paritylens.plans.registry import DISTANCES, LAST, MODED, SELECT, mode_sql, query, table, text_sql, words_sql
+from paritylens.plans.registry import DISTANCES, LAST, MODED, SELECT, literal, mode_sql, query, table, text_sql, words_sql
 
 BY = ["recording_id"]
-#: The pattern of refusals as SQL writes it.
-REFUSAL_SQL = X.REFUSAL.replace("'", "''")
 GROUP = ["recording_id", "channel", "eff_stratum"]
 ALL = f"WITH {MODED}{DISTANCES}{SELECT} "
 
@@ -274,8 +272,8 @@ rules AS (SELECT recording_id, kind, NULL::VARCHAR AS key, NULL::BIGINT AS lo, N
   UNION ALL SELECT recording_id, 'parses_json', NULL, NULL, NULL, NULL FROM rng WHERE objects > 0 UNION ALL SELECT recording_id, 'json_key_present', key, NULL, NULL, NULL FROM fit
   UNION ALL SELECT recording_id, 'json_key_type', key, NULL, NULL, [type] FROM fit WHERE types = 1 UNION ALL SELECT recording_id, 'json_enum', key, NULL, NULL, allowed FROM fit WHERE vals > 1 AND vals <= 6),
 pk AS (SELECT p.recording_id, p.arm, p.output, p.pos, r.kind, r.key, r.lo, r.hi, r.allowed, words, lines, tail, jv, jo, CASE WHEN jo AND r.key IS NOT NULL THEN json_extract(output, '$."' || r.key || '"') END AS v FROM pool p JOIN rules r USING (recording_id)),
-held AS (SELECT recording_id, arm, output, pos, kind, key, lo, hi, allowed, coalesce(CASE kind WHEN 'nonempty' THEN regexp_replace(output, '^\s+|\s+$', '', 'g') <> '' WHEN 'no_control_chars' THEN NOT regexp_matches(output, '[\x00-\x08\x0b\x0c\x0e-\x1f]')
-  WHEN 'no_unicode_escape' THEN NOT regexp_matches(output, '\\u[0-9a-fA-F]{{4}}') WHEN 'no_refusal_marker' THEN NOT regexp_matches(output, '(?i){REFUSAL_SQL}') WHEN 'ends_with_terminator' THEN tail <> '' AND regexp_matches(tail, '[.!?"'')\]}}…]\s*$')
+held AS (SELECT recording_id, arm, output, pos, kind, key, lo, hi, allowed, coalesce(CASE kind WHEN 'nonempty' THEN regexp_replace(output, '^\s+|\s+$', '', 'g') <> '' WHEN 'no_control_chars' THEN NOT regexp_matches(output, {literal(X.CONTROL)})
+  WHEN 'no_unicode_escape' THEN NOT regexp_matches(output, {literal(X.ESCAPE)}) WHEN 'no_refusal_marker' THEN NOT regexp_matches(output, {literal('(?i)' + X.REFUSAL)}) WHEN 'ends_with_terminator' THEN tail <> '' AND regexp_matches(tail, {literal(X.TERMINATOR)})
   WHEN 'word_count_range' THEN words BETWEEN lo AND hi WHEN 'line_count_range' THEN lines BETWEEN lo AND hi WHEN 'script_subset' THEN NOT regexp_matches(output, '[\p{{Greek}}\p{{Cyrillic}}\p{{Thai}}\p{{Hangul}}\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Arabic}}\p{{Hebrew}}\p{{Devanagari}}]')
   WHEN 'parses_json' THEN jv WHEN 'json_key_present' THEN v IS NOT NULL
   WHEN 'json_key_type' THEN list_contains(allowed, CASE json_type(v) WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'DOUBLE' THEN 'float' WHEN 'NULL' THEN 'NoneType' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'dict' ELSE CASE WHEN v IS NOT NULL THEN 'int' END END)

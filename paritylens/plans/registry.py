@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paritylens.functions import text as X
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -36,10 +38,20 @@ def strip_sql(c: str) -> str:
     return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
 
 
+def literal(value: str) -> str:
+    """A value of the engine as SQL writes it."""
+    return "'" + value.replace("'", "''") + "'"
+
+
 def text_sql(c: str) -> str:
-    x = rf"replace(translate({c}, '‘’‚‛“”„‟–—−', '''''''''""""""""---'), '…', '...')"
-    for pattern, by in ((r"(?m)^\s*#{1,6}\s+", ""), (r"(?m)^\s*(?:[-*+•–—]|\d+[.)])\s+", ""), ("[*_`]", ""), (r"[ \t]+", " "), (r"(?m)^[ \t\r]+|[ \t\r]+$", ""), (r"\n{2,}", "\n"), (r"^\s+|\s+$", "")):
-        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    """The values are those of the text functions."""
+    single = {k: v for k, v in X.PUNCTUATION.items() if len(v) == 1}
+    x = f"translate({c}, {literal(''.join(single))}, {literal(''.join(single.values()))})"
+    for k, v in X.PUNCTUATION.items():
+        if len(v) > 1:
+            x = f"replace({x}, {literal(k)}, {literal(v)})"
+    for pattern, by in ((X.HEADING, ""), (X.MARKER, ""), ("[*_`]", ""), (r"[ \t]+", " "), (r"(?m)^[ \t\r]+|[ \t\r]+$", ""), (r"\n{2,}", "\n"), (r"^\s+|\s+$", "")):
+        x = f"regexp_replace({x}, {literal(pattern)}, {literal(by)}, 'g')"
     return x
 
 
@@ -54,7 +66,7 @@ def words_sql(c: str) -> str:
 
 def shape_sql(c: str) -> str:
     s = strip_sql(c)
-    return rf"CASE WHEN {s} = '' THEN 'short' WHEN json_valid({s}) THEN 'json' WHEN len(regexp_extract_all({s}, '(?m)^\s*(?:[-*+•–—]|\d+[.)])\s+')) >= 2 THEN 'list' WHEN {words_sql(s)} <= 45 THEN 'short' ELSE 'prose' END"
+    return rf"CASE WHEN {s} = '' THEN 'short' WHEN json_valid({s}) THEN 'json' WHEN len(regexp_extract_all({s}, {literal(X.MARKER)})) >= 2 THEN 'list' WHEN {words_sql(s)} <= 45 THEN 'short' ELSE 'prose' END"
 
 
 MODED = LAST + f""",

@@ -9,7 +9,7 @@ from paritylens.functions import text as X
 from paritylens.operators import dedup, diagnosis, faults, generators, grading, judging, probes, tools
 from paritylens.plans.detect import corpus_digest, corpus_fingerprint
 from paritylens.plans.log_queries import samples
-from paritylens.plans.registry import query, shape_sql, strip_sql, table, text_sql, words_sql
+from paritylens.plans.registry import literal, query, shape_sql, strip_sql, table, text_sql, words_sql
 
 # -- text ---------------------------------------------------------------------
 
@@ -24,9 +24,9 @@ def x2_x3_normalised(spark, d):
     return samples(spark, d).select("recording_id", "line_no", X.normalise(F.col("output")).alias("mode"))
 
 
-@query(rf"WITH t AS (SELECT recording_id, line_no, {text_sql('output')} AS t FROM samples) SELECT recording_id, line_no, CAST(len(list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS INTEGER) AS sentences FROM t")
+@query(rf"WITH t AS (SELECT recording_id, line_no, {text_sql('output')} AS t FROM samples) SELECT recording_id, line_no, array_to_string(list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''), '¦') AS sentences FROM t")
 def x4_sentences(spark, d):
-    return samples(spark, d).select("recording_id", "line_no", F.size(X.sentences(F.col("output"))).alias("sentences"))
+    return samples(spark, d).select("recording_id", "line_no", F.array_join(X.sentences(F.col("output")), "¦").alias("sentences"))
 
 
 @query(f"SELECT doc_id, json_valid({strip_sql('text')}) AS is_json FROM documents")
@@ -39,9 +39,9 @@ def x6_shapes(spark, d):
     return table(spark, d, "documents").select("doc_id", X.shape(F.col("text")).alias("shape"))
 
 
-@query(rf"SELECT doc_id, len(regexp_extract_all(lower({text_sql('text')}), '[\p{{L}}\p{{N}}_]+')) AS n_words FROM documents")
+@query(rf"SELECT doc_id, array_to_string(regexp_extract_all(lower({text_sql('text')}), '[\p{{L}}\p{{N}}_]+'), ' ') AS words FROM documents")
 def x7_word_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(X.word_tokens(F.col("text"))).cast("long").alias("n_words"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.word_tokens(F.col("text")), " ").alias("words"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-zÀ-ÿ]') THEN 'LATIN' ELSE '' END AS scripts FROM documents")
@@ -49,8 +49,11 @@ def x8_scripts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(X.scripts(F.col("text")), ",").alias("scripts"))
 
 
-@query(rf"""SELECT recording_id, line_no, regexp_matches(output, '(?i)\b(i (?:can(?:no|'')t|am unable to|won''?t) (?:help|assist|provide|comply)|as an ai\b|i''?m sorry,? but\b)') AS refuses, regexp_matches(output, '\\u[0-9a-fA-F]{{4}}') AS has_escape,
-regexp_matches(output, '[\x00-\x08\x0b\x0c\x0e-\x1f]') AS has_control, regexp_replace(output, '\s+$', '') <> '' AND regexp_matches(regexp_replace(output, '\s+$', ''), '[.!?"'')\]}}…]\s*$') AS terminated FROM samples""")
+_TAIL = r"regexp_replace(output, '\s+$', '')"
+
+
+@query(f"""SELECT recording_id, line_no, regexp_matches(output, {literal('(?i)' + X.REFUSAL)}) AS refuses, regexp_matches(output, {literal(X.ESCAPE)}) AS has_escape, regexp_matches(output, {literal(X.CONTROL)}) AS has_control,
+{_TAIL} <> '' AND regexp_matches({_TAIL}, {literal(X.TERMINATOR)}) AS terminated FROM samples""")
 def x9_x10_markers(spark, d):
     o = F.col("output")
     return samples(spark, d).select("recording_id", "line_no", X.refuses(o).alias("refuses"), X.has_escape(o).alias("has_escape"), X.has_control(o).alias("has_control"), X.terminated(o).alias("terminated"))
@@ -69,6 +72,16 @@ def x12_json_keys(spark, d):
     return s.select("recording_id", "line_no", F.col("f.object").alias("is_object"), F.when(at > 0, F.try_element_at("f.values", at)).alias("decision"))
 
 
+@query("""WITH o AS (SELECT recording_id, line_no, output FROM samples WHERE json_valid(output) AND json_type(CASE WHEN json_valid(output) THEN output END) = 'OBJECT'),
+k AS (SELECT recording_id, line_no, key, json_type(json_extract(output, '$."' || key || '"')) AS t FROM (SELECT *, unnest(json_keys(output)) AS key FROM o))
+SELECT recording_id, line_no, string_agg(key || ':' || CASE t WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'DOUBLE' THEN 'float' WHEN 'NULL' THEN 'NoneType' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'dict' ELSE 'int' END, ',' ORDER BY key) AS types FROM k GROUP BY ALL""")
+def x12_json_types(spark, d):
+    """Names and types of the fields of every output that is an object."""
+    s = samples(spark, d).select("recording_id", "line_no", X.json_facts(F.col("output")).alias("f")).where("f.object")
+    pairs = F.transform(F.arrays_zip("f.keys", "f.types"), lambda x: F.concat_ws(":", x["keys"], x["types"]))
+    return s.where(F.size("f.keys") > 0).select("recording_id", "line_no", F.array_join(F.array_sort(pairs), ",").alias("types"))
+
+
 @query(r"SELECT recording_id, line_no, CASE WHEN contains(x, '</think>') THEN regexp_replace(regexp_replace(x, '(?s)^.*</think>', ''), '^\s+', '') ELSE x END AS answer FROM (SELECT *, CASE WHEN sample_idx % 3 = 0 THEN 'hm </think> ' || output ELSE output END AS x FROM samples)")
 def x14_without_thinking(spark, d):
     x = F.when(F.col("sample_idx") % 3 == 0, F.concat(F.lit("hm </think> "), "output")).otherwise(F.col("output"))
@@ -344,12 +357,12 @@ def g3_script_corruption(spark, d):
     return faults.inject(samples(spark, d), "script_corruption", 0.1, "B2", 0.5, 3).select("recording_id", "line_no", "activated", "output")
 
 
-@query(r"""SELECT recording_id, line_no, trim(output) <> '' AND error IS NULL AS activated, CASE WHEN trim(output) <> '' AND error IS NULL THEN 'Based on the information available at the time of review, ' || output ELSE output END AS output FROM samples""")
+@query(f"""SELECT recording_id, line_no, trim(output) <> '' AND error IS NULL AS activated, CASE WHEN trim(output) <> '' AND error IS NULL THEN {literal(faults.PREAMBLE)} || output ELSE output END AS output FROM samples""")
 def g4_verbosity(spark, d):
     return faults.inject(samples(spark, d), "verbosity", 1.0).select("recording_id", "line_no", "activated", "output")
 
 
-@query(r"""SELECT recording_id, line_no, CASE WHEN trim(output) <> '' AND error IS NULL THEN 'I''m sorry, but I can''t help with that request.' ELSE output END AS output FROM samples""")
+@query(f"""SELECT recording_id, line_no, CASE WHEN trim(output) <> '' AND error IS NULL THEN {literal(faults.REFUSAL_TEXT)} ELSE output END AS output FROM samples""")
 def g4_refusal(spark, d):
     return faults.inject(samples(spark, d), "refusal", 1.0).select("recording_id", "line_no", "output")
 
