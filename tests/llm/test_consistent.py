@@ -76,6 +76,6 @@ def test_a_hot_text_hides_no_pair_of_other_texts(spark, monkeypatch):
 
 
 def test_every_copy_of_a_hot_text_meets_the_other_one(spark):
-    texts = {**{i: "Café Bar" for i in range(1, 71)}, 100: "Café Bar"}
+    texts = {**{i: "Cafe\u0301 Bar" for i in range(1, 71)}, 100: "Caf\u00e9 Bar"}
     df = spark.createDataFrame([("t", i, t) for i, t in texts.items()], "tbl string, id long, text string")
     assert sorted((r.id_a, r.id_b) for r in C.lookalike_pairs(df, ["tbl"], "id", "text").collect()) == [(i, 100) for i in range(1, 71)]
