@@ -77,8 +77,8 @@ def best_threshold(grid: DataFrame) -> DataFrame:
     return grid.agg(F.max_by(F.struct("threshold", "balanced"), F.struct("balanced", -F.col("threshold"))).alias("b")).select("b.*")
 
 
-def blind_spots(scores: DataFrame, columns: list[str], two_tailed: list[str] = (), fpr: float = 0.05) -> DataFrame:
-    """channel x category table of detection rates; a channel without a category has null there.
+def detection_rates(scores: DataFrame, two_tailed: list[str] = (), fpr: float = 0.05) -> DataFrame:
+    """(channel, category, n, rate) of every category of every channel.
 
     One tail holds the share ``fpr`` of preserving pairs, or two tails half of
     it each; verbosity counts as hedging of the register.
@@ -86,9 +86,13 @@ def blind_spots(scores: DataFrame, columns: list[str], two_tailed: list[str] = (
     x = scores.withColumn("category", F.when(F.col("category") == "verbosity", "hedging").otherwise(F.col("category"))).withColumn("relation", F.when(F.col("category") == "hedging", "REGISTER").otherwise(F.col("relation")))
     both = F.col("channel").isin(list(two_tailed)) if two_tailed else F.lit(False)
     t = x.where("relation = 'PRESERVING'").groupBy("channel").agg(F.percentile("score", F.lit(1 - fpr)).alias("one"), F.percentile("score", F.lit(1 - fpr / 2)).alias("hi"), F.percentile("score", F.lit(fpr / 2)).alias("lo"))
-    j = x.join(t, "channel")
     hit = F.when(both, (F.col("score") > F.col("hi")) | (F.col("score") < F.col("lo"))).otherwise(F.col("score") > F.col("one"))
-    return j.groupBy("channel").pivot("category", columns).agg(F.round(F.avg(hit.cast("double")), 9))
+    return x.join(t, "channel").groupBy("channel", "category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit.cast("double")), 9).alias("rate"))
+
+
+def blind_spots(scores: DataFrame, columns: list[str], two_tailed: list[str] = (), fpr: float = 0.05) -> DataFrame:
+    """``detection_rates`` with the categories of ``columns`` as columns; a channel without a category has null there."""
+    return detection_rates(scores, two_tailed, fpr).groupBy("channel").pivot("category", columns).agg(F.first("rate"))
 
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:

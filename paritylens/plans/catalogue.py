@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paritylens.plans import channel_queries, detect_queries, log_queries, table_queries  # noqa: F401 - they register their queries
+from paritylens.plans import branch_queries, channel_queries, detect_queries, log_queries, table_queries  # noqa: F401 - they register their queries
 from paritylens.plans.registry import QUERIES, SQL
 
 
