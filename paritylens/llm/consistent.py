@@ -172,7 +172,9 @@ def same_form_classes(df: DataFrame, by: list[str], id_col: str, text: str) -> D
 def first_copies(members: DataFrame, group: list[str]) -> DataFrame:
     """``members`` (group..., id, raw) with ``first``: whether a record is among the first REPRESENTATIVES + 1 ids of its text in its class."""
     text = [*group, "raw"]
-    many = members.groupBy(*text).agg(F.count(F.lit(1)).alias("n_copies")).where(F.col("n_copies") > REPRESENTATIVES + 1)
+    many = cut_lineage(members.groupBy(*text).agg(F.count(F.lit(1)).alias("n_copies")).where(F.col("n_copies") > REPRESENTATIVES + 1))
+    if many.isEmpty():
+        return members.withColumn("first", F.lit(True))
     salted = members.select(*text, "id").join(many, text).withColumn("salt", F.when(F.col("n_copies") > HOT_GROUP, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
     rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("id"))
     first = salted.withColumn("r", rank(*text, "salt")).where(F.col("r") <= REPRESENTATIVES + 1)

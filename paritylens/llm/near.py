@@ -143,7 +143,10 @@ def _prefixes(threshold: Fraction, counters):
             ends = np.cumsum(sizes)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             full = fill[tokens % COUNTERS]
-            order = np.lexsort((tokens, full, owner))
+            # The order of tokens: thin counters first, then the upper half of the token, then
+            # the word, by which the tokens of a record already stand.
+            rare = (full.astype(np.int64) << 32) | ((tokens >> 32) & 0xFFFFFFFF)
+            order = np.lexsort((rare, owner))
             rank = np.arange(len(tokens)) - np.repeat(ends - sizes, sizes)
             need = -(-threshold.numerator * sizes.astype(np.int64) // threshold.denominator)
             # A token that no other record has makes no pair.
